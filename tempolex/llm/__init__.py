@@ -1 +1 @@
-
+"""Operators for preparing training text. Nothing outside this subpackage imports it."""
