@@ -9,10 +9,11 @@ from tempolex.functions.keys import token_text
 from tempolex.llm.arrow import last_delivery
 from tempolex.llm.elite import term_scores
 from tempolex.llm.leakage import leaked_items, without_leaks
+from tempolex.llm.neardup import components, members, record_pairs, similar_texts, with_text_id
 from tempolex.llm.ngrams import mark_terms, ngram_counts
 from tempolex.llm.residue import residue
 from tempolex.llm.tokenize import encode_texts
-from tempolex.session import table
+from tempolex.session import materialise, table
 
 
 def _records(spark: SparkSession, sf_dir: str) -> int:
@@ -45,6 +46,41 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_terms(ngram_counts(_corpus(spark, sf_dir, False), "joined", max_n=2), _records(spark, sf_dir))
 
 
+def _deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = table(spark, sf_dir, "sample_corpus").select("version_id", "loaded_at", token_text(F.col("text")).alias("joined"))
+    return with_text_id(joined, "joined")
+
+
+def _members(deliveries: DataFrame) -> DataFrame:
+    """The class of each record, by its last delivery."""
+    count = F.size(F.split("joined", " "))
+    last = F.max(F.struct("loaded_at", "text_id", count.alias("n")))
+    records = deliveries.groupBy("version_id").agg(last.alias("r")).select("version_id", "r.text_id", "r.n")
+    return members(records, "version_id", 20)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deliveries = _deliveries(spark, sf_dir)
+    pairs = similar_texts(deliveries, threshold=0.5, width=3)
+    return record_pairs(pairs, _members(deliveries), "version_id").toDF("version_id_a", "version_id_b")
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(version_id, class_id, links) of every record with a near-duplicate at five words and 0.8.
+
+    links is the number of different texts linked with the record's; class_id is the smallest version of its group.
+    """
+    deliveries = _deliveries(spark, sf_dir)
+    pairs = materialise(similar_texts(deliveries).select("a", "b"), "pairs")
+    belongs = _members(deliveries)
+    roots = components(pairs)
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("text_id")).groupBy("text_id").agg(F.count("*").alias("links"))
+    placed = belongs.join(roots.withColumnRenamed("node", "text_id"), "text_id", "left").join(degree, "text_id", "left")
+    placed = placed.where((F.col("of") > 1) | F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "text_id"))
+    heads = placed.groupBy("root").agg(F.min("version_id").alias("class_id"))
+    return placed.join(heads, "root").select("version_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -80,7 +116,7 @@ _TOKENS = "regexp_extract_all(lower(regexp_replace({0}, '[\\x{{AD}}\\x{{200B}}\\
 _RECORDS = "rec AS (SELECT version_id, arg_max(heading, loaded_at) AS heading, arg_max(text, loaded_at) AS text FROM sample_corpus GROUP BY version_id)"
 
 QUERIES = {
-    "p3_found": p3_found, "p3_scores": p3_scores, "p4_found": p4_found, "p4_counts": p4_counts, "p7_ids": p7_ids,
+    "p3_found": p3_found, "p3_scores": p3_scores, "p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found, "p6_groups": p6_groups, "p7_ids": p7_ids,
     "p8_found": p8_found, "p8_runs": p8_runs, "p8_cleaned": p8_cleaned, "p9_found": p9_found, "p9_residue": p9_residue,
 }
 

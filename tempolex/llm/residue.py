@@ -39,14 +39,14 @@ can't find that page|cannot find that page|couldn't find that page|page not foun
 check the address or go back|go back to the home page|return to the home page|server could not return the requested|server error in
 could not connect to the database|error establishing a database connection|connection timed out|connection refused|connection was reset
 connection reset by peer|took too long to respond|site can't be reached|unable to connect to the server|upstream returned|upstream sent
-upstream timed out|access denied.|access denied!|access is denied|you do not have permission to|you don't have permission to|permission denied
+upstream timed out|access denied.|access denied!|you do not have permission to|you don't have permission to
 not authorized to view|not authorised to view|session has expired|session expired.|session timed out|sign in again|log in again
 please log in to continue|please sign in to continue|something went wrong while|something went wrong.|something went wrong,|oops!
 an unexpected error|an unknown error occurred|an error occurred while|an error has occurred|internal server error occurred
 too many requests from|slow down and retry|you have been rate limited|checking your browser before|checking if the site connection is secure
-verify you are human|complete the captcha|service is down for maintenance|down for maintenance|under maintenance.|temporarily unavailable
-please come back later|please try again later|document could not be displayed|could not be displayed.|cannot be displayed.|file type is not supported
-download failed|upload failed|failed to load|failed to open stream|unable to load|could not be loaded|the section cannot be drawn
+verify you are human|complete the captcha|service is down for maintenance|down for maintenance
+please come back later|please try again later|document could not be displayed|page could not be displayed|page cannot be displayed|file type is not supported
+download failed|failed to open stream|the section cannot be drawn
 not supported by the viewer|fatal error:|parse error:|call to undefined function|call to undefined method|uncaught exception|unhandled exception
 uncaught typeerror|uncaught referenceerror|traceback (most recent call last)|stack trace:|nullpointerexception|segmentation fault|core dumped
 keyerror:|valueerror:|typeerror:|nameerror:|attributeerror:|indexerror:|modulenotfounderror:|syntaxerror:|importerror:|runtimeerror:|zerodivisionerror:|filenotfounderror:|exception in thread
@@ -61,7 +61,7 @@ pagina no encontrada|acceso denegado|error interno del servidor|ha ocurrido un e
 FILLER = """
 lorem ipsum|your content goes here|your text goes here|your text here|content goes here|text goes here|add your text|add text here|insert text here
 type your text|sample sentence for layout|sample text for|for layout purposes|replace before publication|replace this text|holds the place of the real
-placeholder sits where|placeholder text|this is a placeholder|placeholder for|dummy text|filler text|body copy body copy|text text text|blah blah|test test test
+placeholder sits where|placeholder text|this is a placeholder|is a placeholder for|dummy text|filler text|body copy body copy|text text text|blah blah|test test test
 asdf asdf|asdfasdf|qwer qwer|qwerty qwerty|zxcv zxcv|foo bar baz|the quick brown fox jumps|quick placeholder|coming soon.|content coming soon
 nothing to see here|texte a remplacer|texte ici|votre texte ici|platzhaltertext|blindtext|hier steht ihr text|texto de relleno|su texto aqui|texto aqui|testo segnaposto
 یہاں متن درج|متن درج کریں|یہاں لکھیں|یہاں اپنا متن|نمونہ متن|هذا النص هو مثال|نص تجريبي
@@ -83,7 +83,7 @@ _SLOT = regex.compile(
     |\[\s*[●•■▪◆]+\s*\]|<(?:insert|enter|your|add|type)\b[^<>\n]{0,100}>|<[\w.\- ]{1,80}\ here>|<\s*(?:heading|title|name|date|text|number|amount|address|section|act|court|party)(?:[_. ]\w{1,40})?\s*>
     |\[(?:name|title|date|number|address|amount|signature|designation|place)\ of\ [^\[\]\n]{1,80}\]|\[(?:name|title|date|number|address|amount|signature|place)\]
     |\(to\ be\ (?:filled|completed|inserted|confirmed|supplied|added|determined|decided)\b[^()\n]{0,100}\)|\((?:insert|enter|fill\ in)\ [^()\n]{1,100}\)
-    |\b(?:todo|fixme)\s*:|\btodo\b(?=\ replace)|\bnan-nan-nan\b|\bnan/nan/nan\b|(?<![a-z])x{5,}(?![a-z])|\bxx/xx/xxxx\b|\bdd/mm/yyyy\b|click\ here\ to\ enter\ (?:text|a\ date)|\[object\ object\]""",
+    |\b(?:todo|fixme)\s*:|\btodo\b(?=\ replace)|\bnan-nan-nan\b|\bnan/nan/nan\b|(?<![a-z])x{5,}(?![a-z])|\{\d{1,2}\}|(?<![\w%])%[sd](?!\w)|<(?!/)(?!\b(?:p|br|b|i|u|a|s|q|em|hr|li|ol|ul|td|th|tr|div|pre|sub|sup|span|body|html|head|meta|link|code|font|form|label|input|small|strong|table|tbody|thead|script|noscript|style|center|strike|iframe|img|main|nav|footer|header|article|aside|button|cite|dd|dl|dt|h\d)\b\s*>)[a-z]+(?:[_.\- ][a-z]+){0,3}>|\bxx/xx/xxxx\b|\bdd/mm/yyyy\b|click\ here\ to\ enter\ (?:text|a\ date)|\[object\ object\]""",
     regex.V0 | regex.VERBOSE,
 )
 
@@ -92,7 +92,7 @@ _BARE = regex.compile(r"(?:\b(?:of|under|between|dear|on|in the matter of|by|to)
 _PROBES = ["{{", "}}", "{%", "<%", "${", "%(", "@@", "__", "[[", "]]", "<<", ">>", "[insert", "[enter", "[type", "[add", "[your", "[fill in", "[click", "[to be", "[tb", "to be confirmed", "to be inserted", "to be completed", "to be added",
            "to be determined", "to be advised", "to be decided", "to be filled", "to be supplied", "to be provided", "goes here]", "go here]", " here]", " here>", "[●", "[•", "[■", "[▪", "[◆", "<insert", "<enter", "<your", "<add", "<type", "[name", "[title", "[date",
            "[number", "[address", "[amount", "[signature", "[designation", "[place", "<heading", "<title", "<name", "<date", "<text", "<number", "<amount", "<address", "<section", "<act", "<court", "<party", "(insert ", "(enter ", "(fill in", "todo", "fixme", "nan-nan", "nan/nan",
-           "xxxxx", "xx/xx", "dd/mm/yyyy", "click here to enter", "[object object", "$", "#", "{", "%"]
+           "<", "xxxxx", "xx/xx", "dd/mm/yyyy", "click here to enter", "[object object", "$", "#", "{", "%"]
 _BARE_PROBES = ["undefined", " null", "null:", "null,", " nan", " n/a", " tbc", " tbd", "tbc:", "tbd:"]
 
 
