@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tempolex.functions.keys import token_text
 from tempolex.llm.arrow import last_delivery
 from tempolex.llm.elite import term_scores
+from tempolex.llm.encoding import garbled_fields
 from tempolex.llm.leakage import leaked_items, without_leaks
 from tempolex.llm.neardup import components, members, record_pairs, similar_texts, with_text_id
 from tempolex.llm.ngrams import mark_terms, ngram_counts
@@ -26,6 +27,15 @@ def _corpus(spark: SparkSession, sf_dir: str, heading: bool) -> DataFrame:
     return last_delivery(table(spark, sf_dir, "sample_corpus"), {"joined": token_text(text)})
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled_fields(table(spark, sf_dir, "sample_corpus"), "version_id", ["text", "heading"]).select("version_id", "field").distinct()
+
+
+def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The garbled fields with their restored wording."""
+    return garbled_fields(table(spark, sf_dir, "sample_corpus"), "version_id", ["text", "heading"]).distinct()
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = term_scores(_corpus(spark, sf_dir, True), "version_id", "joined", _records(spark, sf_dir), min_tf=3, min_chars=4, records_between=(2, 8))
     return scores.select("version_id", "term")
@@ -47,15 +57,15 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every delivery with its tokens, written once: five stages read it."""
     joined = table(spark, sf_dir, "sample_corpus").select("version_id", "loaded_at", token_text(F.col("text")).alias("joined"))
-    return with_text_id(joined, "joined")
+    return materialise(with_text_id(joined, "joined"), "tokens")
 
 
 def _members(deliveries: DataFrame) -> DataFrame:
     """The class of each record, by its last delivery."""
-    count = F.size(F.split("joined", " "))
-    last = F.max(F.struct("loaded_at", "text_id", count.alias("n")))
-    records = deliveries.groupBy("version_id").agg(last.alias("r")).select("version_id", "r.text_id", "r.n")
+    last = F.max(F.struct("loaded_at", "text_id", "tokens"))
+    records = deliveries.groupBy("version_id").agg(last.alias("r")).select("version_id", "r.text_id", "r.tokens")
     return members(records, "version_id", 20)
 
 
@@ -116,6 +126,7 @@ _TOKENS = "regexp_extract_all(lower(regexp_replace({0}, '[\\x{{AD}}\\x{{200B}}\\
 _RECORDS = "rec AS (SELECT version_id, arg_max(heading, loaded_at) AS heading, arg_max(text, loaded_at) AS text FROM sample_corpus GROUP BY version_id)"
 
 QUERIES = {
+    "p1_found": p1_found, "p1_restored": p1_restored,
     "p3_found": p3_found, "p3_scores": p3_scores, "p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found, "p6_groups": p6_groups, "p7_ids": p7_ids,
     "p8_found": p8_found, "p8_runs": p8_runs, "p8_cleaned": p8_cleaned, "p9_found": p9_found, "p9_residue": p9_residue,
 }
