@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,12 +152,16 @@ def with_proximity(hits: DataFrame, forms: DataFrame, docs: DataFrame) -> DataFr
     heading_hits = F.size(F.filter("heading_set", lambda h: F.array_contains(asked_forms, h)))
     heading_coverage = F.when(F.size("heading_set") > 0, in_heading / F.col("asked") * heading_hits / F.size("heading_set")).otherwise(F.lit(0.0))
 
-    @F.pandas_udf("double")
-    def tight(places: pd.Series, matched: pd.Series) -> pd.Series:
-        return pd.Series([tightness(p, m) for p, m in zip(places, matched)], dtype=float)
+    rows = placed.withColumns({"heading_coverage": heading_coverage, "places": positions}).select("item_id", "version_id", "score", "coverage", "matched", "terms", "heading_coverage", "places")
+    out = rows.mapInArrow(_add_tightness, "item_id bigint, version_id bigint, score double, coverage double, matched bigint, terms array<string>, heading_coverage double, tightness double")
+    return out.withColumn("ranking", F.col("score") * (1 + HEADING_WEIGHT * F.col("heading_coverage")) * (1 + PROXIMITY_WEIGHT * F.col("tightness")))
 
-    out = placed.withColumns({"heading_coverage": heading_coverage, "tightness": tight(positions, "matched")})
-    return out.withColumn("ranking", F.col("score") * (1 + HEADING_WEIGHT * F.col("heading_coverage")) * (1 + PROXIMITY_WEIGHT * F.col("tightness"))).drop("forms", "text_tokens", "heading_set")
+
+def _add_tightness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        places, matched = b.column("places").to_pylist(), b.column("matched").to_pylist()
+        tight = pa.array([tightness(p, m) for p, m in zip(places, matched)], pa.float64())
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], tight], names=[*b.schema.names[:-1], "tightness"])
 
 
 def top_hits(questions: DataFrame, versions: DataFrame, k: int = 5, expand: bool = True) -> DataFrame:
