@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("tempolex.plans.problems", "tempolex.plans.temporal_queries", "tempolex.plans.ranking_queries", "tempolex.plans.audit_queries")
+MODULES = ("tempolex.plans.problems", "tempolex.plans.temporal_queries", "tempolex.plans.ranking_queries", "tempolex.plans.audit_queries", "tempolex.plans.source_queries")
 OPTIONAL = ("tempolex.llm.queries",)
 
 

@@ -1 +1 @@
-
+"""Structured Streaming over recorded calls and documents."""
