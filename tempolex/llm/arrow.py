@@ -51,9 +51,12 @@ def plain(column: pa.ChunkedArray | pa.Array) -> pa.Array:
 
 def split_tokens(joined: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Tokens of single-space joined texts, and the number of tokens of each row. '' and null have none."""
-    lists = pc.split_pattern(pc.if_else(pc.equal(joined, ""), pa.scalar(None, joined.type), joined), " ")
-    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return plain(pc.list_flatten(lists)), lengths
+    joined = pc.fill_null(joined, "")
+    empty = pc.equal(joined, "").to_numpy(zero_copy_only=False)
+    lists = pc.split_pattern(joined, " ")
+    lengths = np.where(empty, 0, pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+    tokens = plain(pc.list_flatten(lists))
+    return (tokens.filter(pc.not_equal(tokens, "")) if empty.any() else tokens), lengths
 
 
 def token_codes(joined: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:

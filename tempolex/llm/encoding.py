@@ -210,6 +210,8 @@ def cost(word: str, words: Words) -> float:
         total += _letter_cost(m.group(), words)
     size = len(clean)
     for i, c in enumerate(clean):
+        if unicodedata.combining(c):
+            total += 0.1 if "\u0610" <= c <= "\u06ed" or c in "\u0300\u0301\u0302\u0303\u0308\u030a\u030c\u0327" else 1.5
         if c <= "\x7f" or c.isalpha() or unicodedata.combining(c):
             continue
         before, after = clean[:i], clean[i + 1 :]
@@ -260,23 +262,22 @@ def search(word: str, words: Words) -> tuple[str, float, float, tuple[str, ...]]
     """(cheapest word, its cost, the cost of the word itself, operations): best-first from the word."""
     own = cost(word, words)
     best = (own, 0.0, word, ())
-    heap, visited, opened = [best], {word}, 0
+    heap, visited, opened = [(own, *best)], {word}, 0
     while heap and opened < OPENED:
-        at = heapq.heappop(heap)
-        if at[0] < best[0]:
-            best = at
-        if at[0] - at[1] <= 0.02 or len(at[3]) >= 5:
-            break
+        _, at_cost, spent, at, path = heapq.heappop(heap)
+        if best[0] - best[1] <= 0.02 or len(path) >= 5:
+            continue
         opened += 1
-        for operation, after in moves(at[2]):
-            if after not in visited:
-                visited.add(after)
-                spent = at[1] + PRICE.get(operation, REREAD_PRICE)
-                c = cost(after, words) + spent
-                if c < at[0] + 2.0:
-                    heapq.heappush(heap, (c, spent, after, (*at[3], operation)))
-    while heap and heap[0][0] < best[0]:
-        best = heapq.heappop(heap)
+        for operation, after in moves(at):
+            if after in visited:
+                continue
+            visited.add(after)
+            price = spent + PRICE.get(operation, REREAD_PRICE)
+            node = (cost(after, words) + price, price, after, (*path, operation))
+            if node[0] < best[0]:
+                best = node
+            if node[0] < at_cost + 2.0:  # states read as UTF-8 come first: that they can be read so is hardly chance
+                heapq.heappush(heap, (node[0] - 3.0 * sum(o.endswith("utf-8") for o in node[3]), *node))
     return best[2], best[0], own, best[3]
 
 
@@ -286,7 +287,10 @@ _REMAINS = regex.compile(r"^Â$|�|[\x80-\x84\x86-\x9f]|(?:â€|Ã[\x80-\xbf¢
 
 def judge(word: str, words: Words) -> tuple[bool, str]:
     """(garbled, restored word)."""
-    after, reached, own, operations = search(word, words)
+    if cost(word, words) <= MARGIN:  # no operation could lower it by more
+        after, reached, own, operations = word, 0.0, 0.0, ()
+    else:
+        after, reached, own, operations = search(word, words)
     decoded = any(o != "unescape" for o in operations)
     if decoded and reached < own - MARGIN:
         return True, after
@@ -299,7 +303,7 @@ _SPLIT = regex.compile(r"([ \t\r\n]+)")
 _WORTH = regex.compile(r"[^\x00-\x7f]|&[#A-Za-z]")
 #: Words whose strange characters are all Urdu letters or marks in their usual places need no search.
 _USUAL = regex.compile(
-    rf"[{QUOTES_OPEN}(\[{INVISIBLE}]*(?:[A-Za-z0-9()/,.&'{INVISIBLE}-]*|[{URDU}۰-۹٠-٩{INVISIBLE}]*)(?:[’'](?:s|t))?[.,;:!?){INVISIBLE}]*[{QUOTES_CLOSE}…]?[.,;:!?)\];;{INVISIBLE}]*|[–—§¶№€£±]|\p{{Nd}}+"
+    rf"[{QUOTES_OPEN}(\[{INVISIBLE}]*(?:[A-Za-z0-9()/,.&'{INVISIBLE}-]*|[{URDU}۰-۹٠-٩]*)(?:[’'](?:s|t))?[.,;:!?){INVISIBLE}]*[{QUOTES_CLOSE}…]?[.,;:!?)\];;{INVISIBLE}]*|[–—§¶№€£±]|\p{{Nd}}+"
 )
 
 
