@@ -38,7 +38,7 @@ MARGIN = 0.55
 PRICE = {"unescape": 0.05, **{f"{c}>utf-8": 0.05 for c in ("cp1252", "latin-1", "mac_roman", "cp437", "cp1256", "cp850", "cp1251")}}
 REREAD_PRICE = 0.3
 #: States opened for one word at most, and results remembered by one worker.
-OPENED, MEMORY = 24, 300_000
+OPENED, MEMORY = 12, 300_000
 #: Words longer than this are searched in pieces.
 PIECE = 64
 
@@ -276,7 +276,7 @@ def search(word: str, words: Words) -> tuple[str, float, float, tuple[str, ...]]
             node = (cost(after, words) + price, price, after, (*path, operation))
             if node[0] < best[0]:
                 best = node
-            if node[0] < at_cost + 2.0:  # states read as UTF-8 come first: that they can be read so is hardly chance
+            if node[0] < at_cost + (2.0 if operation.endswith("utf-8") else 0.8):  # states read as UTF-8 come first: that they can be read so is hardly chance
                 heapq.heappush(heap, (node[0] - 3.0 * sum(o.endswith("utf-8") for o in node[3]), *node))
     return best[2], best[0], own, best[3]
 
