@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tempolex.functions.analysis import expansion, stems, without_stopwords, words
 from tempolex.operators.temporal import in_force
+from tempolex.session import materialise
 
 # The constants of the ranking.
 K1, B = 1.5, 0.75
@@ -143,37 +144,49 @@ def with_proximity(hits: DataFrame, forms: DataFrame, docs: DataFrame) -> DataFr
     """Adds tightness, heading_coverage and ranking."""
     by_term = forms.groupBy("item_id", "term").agg(F.collect_set("token").alias("tokens")).groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "tokens"))).alias("forms"))
     placed = hits.join(by_term, "item_id").join(docs.select("version_id", "text_tokens", F.array_distinct("heading_tokens").alias("heading_set")), "version_id")
-    positions = F.transform(
-        "terms",
-        lambda t: F.filter(F.transform("text_tokens", lambda w, i: F.when(F.array_contains(F.element_at("forms", t), w), i)), lambda i: i.isNotNull()),
-    )
     asked_forms = F.flatten(F.map_values("forms"))
     in_heading = F.size(F.filter(F.map_values("forms"), lambda ts: F.arrays_overlap(ts, F.col("heading_set"))))
     heading_hits = F.size(F.filter("heading_set", lambda h: F.array_contains(asked_forms, h)))
     heading_coverage = F.when(F.size("heading_set") > 0, in_heading / F.col("asked") * heading_hits / F.size("heading_set")).otherwise(F.lit(0.0))
 
-    rows = placed.withColumns({"heading_coverage": heading_coverage, "places": positions}).select("item_id", "version_id", "score", "coverage", "matched", "terms", "heading_coverage", "places")
+    rows = placed.withColumns({"heading_coverage": heading_coverage, "term_forms": F.transform("terms", lambda t: F.element_at("forms", t))}).select(
+        "item_id", "version_id", "score", "coverage", "matched", "terms", "heading_coverage", "term_forms", "text_tokens"
+    )
     out = rows.mapInArrow(_add_tightness, "item_id bigint, version_id bigint, score double, coverage double, matched bigint, terms array<string>, heading_coverage double, tightness double")
     return out.withColumn("ranking", F.col("score") * (1 + HEADING_WEIGHT * F.col("heading_coverage")) * (1 + PROXIMITY_WEIGHT * F.col("tightness")))
 
 
 def _add_tightness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        places, matched = b.column("places").to_pylist(), b.column("matched").to_pylist()
-        tight = pa.array([tightness(p, m) for p, m in zip(places, matched)], pa.float64())
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], tight], names=[*b.schema.names[:-1], "tightness"])
+        tight = []
+        for forms, tokens, matched in zip(*(b.column(c).to_pylist() for c in ("term_forms", "text_tokens", "matched"))):
+            terms_of: dict[str, list[int]] = {}
+            for k, words_of_term in enumerate(forms):
+                for w in words_of_term:
+                    terms_of.setdefault(w, []).append(k)
+            places: list[list[int]] = [[] for _ in forms]
+            for at, w in enumerate(tokens):
+                for k in terms_of.get(w, ()):
+                    places[k].append(at)
+            tight.append(tightness(places, matched))
+        yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(tight, pa.float64())], names=[*b.schema.names[:-2], "tightness"])
+
+
+def build_index(versions: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(analysed versions, postings, defined stop words), written once to the shared folder: every question reads them."""
+    defined = defined_stopwords(versions)
+    docs = materialise(analysed(versions.select("version_id", "number", "heading", "text", "in_force_from", "in_force_to"), defined), "index")
+    return docs, materialise(postings(docs), "postings"), defined
 
 
-def top_hits(questions: DataFrame, versions: DataFrame, k: int = 5, expand: bool = True) -> DataFrame:
+def top_hits(questions: DataFrame, index: tuple[DataFrame, DataFrame, list[str]], k: int = 5, expand: bool = True) -> DataFrame:
     """(item_id, position, version_id, score, coverage, heading_coverage, tightness, ranking): the k best versions per question.
 
     Sorted by coverage, then ranking, then version_id. Questions without terms or hits give no rows; ties are
     decided by version_id; null texts and headings hold no words.
     """
-    defined = defined_stopwords(versions)
-    docs = analysed(versions, defined)
-    posts = postings(docs)
-    forms = question_forms(question_terms(questions, defined), posts, expand)
+    docs, posts, defined = index
+    forms = materialise(question_forms(question_terms(questions, defined), posts, expand), "forms")
     hits = scored(term_hits(forms, posts, snapshot_statistics(docs, questions)))
     ranked = with_proximity(leading(hits, k), forms, docs)
     w = Window.partitionBy("item_id").orderBy(F.desc("coverage"), F.desc("ranking"), "version_id")

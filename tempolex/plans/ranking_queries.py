@@ -24,10 +24,7 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    v = _versions(spark, d)
-    defined = r.defined_stopwords(v)
-    docs = r.analysed(v, defined)
-    return docs, r.postings(docs), defined
+    return r.build_index(_versions(spark, d))
 
 
 def term_frequency(spark, d):
@@ -61,18 +58,18 @@ def bm25_coverage_sort(spark, d):
 
 def bm25_top_k(spark, d):
     """The five best versions per question with stems, related words, heading and proximity."""
-    top = r.top_hits(_questions(spark, d), _versions(spark, d))
+    top = r.top_hits(_questions(spark, d), _index(spark, d))
     return top.select("item_id", "position", "version_id", *[F.round(c, 4).alias(c) for c in ("score", "coverage", "heading_coverage", "tightness", "ranking")])
 
 
 def information_coverage(spark, d):
     """Of each question's best hit: the matched share of the weight of its terms."""
-    docs, posts, defined = _index(spark, d)
+    index = docs, posts, defined = _index(spark, d)
     questions = _questions(spark, d)
     forms = r.question_forms(r.question_terms(questions, defined), posts)
     statistics = r.snapshot_statistics(docs, questions)
     weights = r.term_weights(forms, posts, statistics)
-    best = r.top_hits(questions, _versions(spark, d), 1).select("item_id", "version_id", "terms")
+    best = r.top_hits(questions, index, 1).select("item_id", "version_id", "terms")
     shared = weights.join(best, "item_id").groupBy("item_id", "version_id").agg(
         (F.sum(F.when(F.array_contains("terms", F.col("term")), F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("c")
     )
@@ -81,12 +78,12 @@ def information_coverage(spark, d):
 
 def key_term_missing(spark, d):
     """Questions whose heaviest term is not matched by their best hit, with that term."""
-    docs, posts, defined = _index(spark, d)
+    index = docs, posts, defined = _index(spark, d)
     questions = _questions(spark, d)
     forms = r.question_forms(r.question_terms(questions, defined), posts)
     weights = r.term_weights(forms, posts, r.snapshot_statistics(docs, questions))
     heaviest = weights.groupBy("item_id").agg(F.max(F.struct(F.round("weight", 6).alias("w"), "term")).alias("m"), F.count("*").alias("n")).where("n >= 2")
-    best = r.top_hits(questions, _versions(spark, d), 1).select("item_id", "terms")
+    best = r.top_hits(questions, index, 1).select("item_id", "terms")
     return heaviest.join(best, "item_id").where(~F.array_contains("terms", F.col("m.term"))).select("item_id", F.col("m.term").alias("term"))
 
 

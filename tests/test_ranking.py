@@ -20,7 +20,7 @@ def ask(spark, questions):
 
 def test_worked_example(spark):
     v = versions(spark, [(1, "1", "kado milu", "kado tano milu vopu kado"), (2, "2", "tano zulu", "milu vopu tano tano zulu kado milu"), (3, "3", "vopu zulu", "zulu vopu zulu")])
-    got = r.top_hits(ask(spark, ["kado milu zulu"]), v).orderBy("position").collect()
+    got = r.top_hits(ask(spark, ["kado milu zulu"]), r.build_index(v)).orderBy("position").collect()
     want = [(2, 1.8265, 1.0, 0.1667, 1.0, 3.4247), (1, 1.6379, 0.6667, 0.6667, 0.5, 4.0947), (3, 0.8847, 0.3333, 0.1667, 0.0, 1.1059)]
     assert [(x.version_id, round(x.score, 4), round(x.coverage, 4), round(x.heading_coverage, 4), round(x.tightness, 4), round(x.ranking, 4)) for x in got] == want
 
@@ -40,16 +40,16 @@ def test_scores_by_brute_force(spark, seed):
             tf = bag.count(term)
             if tf:
                 want[i] = want.get(i, 0) + math.log(1 + (len(bags) - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(bag) / mean))
-    got = {x.version_id: x.score for x in r.top_hits(ask(spark, [question]), versions(spark, rows), k=100).collect()}
+    got = {x.version_id: x.score for x in r.top_hits(ask(spark, [question]), r.build_index(versions(spark, rows)), k=100).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
 def test_related_words_and_nulls(spark):
     v = versions(spark, [(1, "302", "Qatl", "whoever causes qatl"), (2, "5", None, None), (3, "6", "", "")])
-    got = r.top_hits(ask(spark, ["murder", None, "", "unknownword"]), v).collect()
+    got = r.top_hits(ask(spark, ["murder", None, "", "unknownword"]), r.build_index(v)).collect()
     assert [(x.item_id, x.version_id) for x in got] == [(0, 1)]
     assert {(x.item_id, x.term) for x in r.absent_terms(ask(spark, ["murder unknownword"]), v).collect()} == {(0, "unknownword")}
-    assert r.top_hits(ask(spark, ["murder"]), v.where("false")).count() == 0
+    assert r.top_hits(ask(spark, ["murder"]), r.build_index(v.where("false"))).count() == 0
 
 
 def test_smallest_window():
