@@ -172,3 +172,26 @@ SQL = {
     "corpus_bigrams": f"""WITH {PROV}, t AS (SELECT {_words('text')} AS w FROM prov), p AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: {{'first': w[i], 'second': w[i + 1]}})) AS p FROM t)
       SELECT p.first AS first, p.second AS second, count(*) AS n FROM p GROUP BY ALL""",
 }
+
+
+def _decided(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    from tempolex.operators.decide import decisions
+
+    v = t.versions(table(spark, d, "sample_corpus"), [*COLUMNS, "start_known"])
+    keys = [row.statute for row in table(spark, d, "acts").select("statute").collect()]  # the fixed list of Acts
+    return decisions(_questions(spark, d), v, r.build_index(v), keys), v
+
+
+def answer_end_to_end(spark, d):
+    """What becomes of every benchmark item asked as a question: answered, or why not."""
+    return _decided(spark, d)[0]
+
+
+def quality_scoreboard(spark, d):
+    from tempolex.operators.decide import scoreboard
+
+    decided, v = _decided(spark, d)
+    return scoreboard(decided, table(spark, d, "benchmark").select("item_id", "suite", "expected_citation"), v)
+
+
+QUERIES |= {f.__name__: f for f in (answer_end_to_end, quality_scoreboard)}
