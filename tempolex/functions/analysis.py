@@ -60,8 +60,8 @@ def words(text: Column) -> Column:
 
 def without_stopwords(tokens: Column, defined: list[str] | None = None) -> Column:
     """Duplicates and order stay. Stop words the corpus defines stay too."""
-    dropped = F.array(*[F.lit(w) for w in STOPWORDS if w not in set(defined or ())])
-    return F.filter(tokens, lambda w: ~F.array_contains(dropped, w))
+    dropped = [w for w in STOPWORDS if w not in set(defined or ())]
+    return F.filter(tokens, lambda w: ~w.isin(dropped))
 
 
 def stems(term: Column) -> Column:

@@ -27,16 +27,22 @@ def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[str]
     return r.build_index(_versions(spark, d))
 
 
+def _postings(spark: SparkSession, d: str) -> DataFrame:
+    """For queries that read the postings once: nothing is written."""
+    v = _versions(spark, d)
+    return r.postings(r.analysed(v, r.defined_stopwords(v)))
+
+
 def term_frequency(spark, d):
-    return _index(spark, d)[1].select("version_id", "token", "tf")
+    return _postings(spark, d).select("version_id", "token", "tf")
 
 
 def document_frequency(spark, d):
-    return r.document_frequency(_index(spark, d)[1])
+    return r.document_frequency(_postings(spark, d))
 
 
 def epoch_document_frequency(spark, d):
-    return r.epoch_document_frequency(_index(spark, d)[1]).withColumn("day", iso_date(F.col("day")))
+    return r.epoch_document_frequency(_postings(spark, d)).withColumn("day", iso_date(F.col("day")))
 
 
 def snapshot_statistics(spark, d):
