@@ -1,48 +1,44 @@
-"""Word-level difference of two versions, with bounded work.
+"""Word-level difference of two versions, with bounded precise work.
 
 Sentences that both texts share anchor the comparison; only the stretches between them are compared word by word,
-from a common budget. A stretch the budget does not cover is reported whole and marked approximate.
+from a common budget. A stretch the budget does not cover is compared coarsely, without its frequent words as
+anchors, and each of its rows is marked approximate. The whole texts are compared and every change is given in full;
+bounds on what is shown belong to a report of these rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import chain
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-# Comparisons and rows of one difference, characters of a text, characters shown of a row, words of an unchanged run that anchors.
-WORK, ROWS, CHARS, SHOWN, ANCHOR = 250_000, 500, 200_000, 2_000, 4
+# Comparisons of one difference, words of an unchanged run that anchors.
+WORK, ANCHOR = 250_000, 4
 
 _END = regex.compile(r"(?<=[.;:])\s+")
 
 
-def _shown(words: list[str]) -> str:
-    text = " ".join(words)
-    return text if len(text) <= SHOWN else text[:SHOWN].rstrip() + " …"
-
-
 def _stretches(before: list[str], after: list[str]) -> Iterator[tuple[list[str], list[str]]]:
     """Pairs of word lists between the sentences both texts share in order."""
-    a, b = ([s.split() for s in _END.split(" ".join(t)) if s] for t in (before, after))
+    a, b = ([s for s in _END.split(" ".join(t)) if s] for t in (before, after))
     left = right = 0
-    blocks = SequenceMatcher(None, [" ".join(x) for x in a], [" ".join(x) for x in b], autojunk=False).get_matching_blocks()
-    for i, j, n in blocks:
-        if n and sum(map(len, a[i : i + n])) < ANCHOR:
+    # sentences that repeat throughout a long text anchor nothing: comparing all their places is far worse than quadratic
+    for i, j, n in SequenceMatcher(None, a, b, autojunk=len(a) * len(b) > WORK).get_matching_blocks():
+        if n and sum(len(s.split()) for s in a[i : i + n]) < ANCHOR:
             continue
-        x, y = sum(a[left:i], []), sum(b[right:j], [])
+        x, y = (list(chain.from_iterable(s.split() for s in t)) for t in (a[left:i], b[right:j]))
         if x or y:
             yield x, y
         left, right = i + n, j + n
 
 
 def word_diff(before: str | None, after: str | None) -> list[tuple[str, str, str]]:
-    """(change, before, after) rows; change is added, removed, replaced, approximate or truncated. Equal texts give none."""
-    before, after = before or "", after or ""
-    cut = max(len(before), len(after)) > CHARS
-    a, b = before[:CHARS].split(), after[:CHARS].split()
+    """(change, before, after) rows; change is added, removed, replaced or approximate. Equal texts give none."""
+    a, b = (before or "").split(), (after or "").split()
     out: list[tuple[str, str, str]] = []
     budget = WORK
     for x, y in _stretches(a, b) if a != b else ():
@@ -50,15 +46,13 @@ def word_diff(before: str | None, after: str | None) -> list[tuple[str, str, str
         x, y = x[head:], y[head:]
         tail = next((k for k, (p, q) in enumerate(zip(reversed(x), reversed(y))) if p != q), min(len(x), len(y)))
         x, y = x[: len(x) - tail], y[: len(y) - tail]
-        if x and y and len(x) * len(y) > budget:
-            out.append(("approximate", _shown(x), _shown(y)))
-            continue
-        budget -= len(x) * len(y)
-        for kind, i1, i2, j1, j2 in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+        coarse = len(x) * len(y) > budget
+        if not coarse:
+            budget -= len(x) * len(y)
+        for kind, i1, i2, j1, j2 in SequenceMatcher(None, x, y, autojunk=coarse).get_opcodes():
             if kind != "equal":
-                out.append(({"insert": "added", "delete": "removed", "replace": "replaced"}[kind], _shown(x[i1:i2]), _shown(y[j1:j2])))
-    if cut or len(out) > ROWS:
-        out = [*out[: ROWS - 1], ("truncated", "", "")]
+                change = "approximate" if coarse else {"insert": "added", "delete": "removed", "replace": "replaced"}[kind]
+                out.append((change, " ".join(x[i1:i2]), " ".join(y[j1:j2])))
     return out
 
 

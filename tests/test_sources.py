@@ -77,6 +77,22 @@ def test_diff():
     assert word_diff(prose, prose.replace("numbered 77 stands", "numbered 77 falls")) == [("replaced", "stands", "falls")]
 
 
+def test_diff_compares_whole_texts():
+    long = ". ".join(f"The clause numbered {i} stands as it was" for i in range(8000))
+    assert len(long) > 200_000
+    assert word_diff(long, long + ". At the end") == [("replaced", "was", "was. At the end")]
+    many = ". ".join(f"Clause {i} of the said Act stands. Entry {i} says old" for i in range(700))
+    assert word_diff(many, many.replace("says old", "says new")).count(("replaced", "old.", "new.")) == 699
+    wide = " ".join(f"w{i}" for i in range(1000))
+    assert word_diff("", wide) == [("added", "", wide)]
+
+
+def test_diff_beyond_the_budget_is_coarse():
+    one = [f"w{i}" for i in range(3000)]
+    two = ["first", *one[:1500], "middle", *one[1501:], "last"]
+    assert word_diff(" ".join(one), " ".join(two)) == [("approximate", "", "first"), ("approximate", "w1500", "middle"), ("approximate", "", "last")]
+
+
 def test_acts(spark):
     notes = {"Repealed w.e.f. 23-6-2020": ("2020-06-23", True), "Repealed by Ord. 7 of 26": ("2026-01-01", False), "Repealed by Act XIV of 2010": ("2010-01-01", False), "Repealed": (None, False), "w.e.f. 31-2-1999 by Act I of 1998": ("1999-01-01", False)}
     df = spark.createDataFrame([(n,) for n in notes], "n string")
