@@ -2,8 +2,8 @@
 
 A text is taken apart at its white space. For each distinct word with characters beyond ASCII (or an HTML entity) a
 search runs over the texts reachable from it: write it in one character set and read it in another, or read its
-entities. States are visited once; a cost, which is low for plausible characters in plausible places, says which state
-to open next, and the cheapest state reached is the restored word. A word is garbled if an operation on its bytes
+entities. A cost, which is low for plausible characters in plausible places, says which state to open next; the search
+goes on until no state left can lead to a cheaper one, and the cheapest is the restored word. A word is garbled if an operation on its bytes
 leads to a clearly cheaper one, or if it holds characters that only a failed decoding leaves behind.
 
 Plausibility needs to know words. All words of the collection are counted; those written in ASCII and seen often
@@ -37,8 +37,9 @@ MARGIN = 0.55
 #: What an operation adds to the cost: reading UTF-8 or entities proves itself, another single-byte reading must earn more.
 PRICE = {"unescape": 0.05, **{f"{c}>utf-8": 0.05 for c in ("cp1252", "latin-1", "mac_roman", "cp437", "cp1256", "cp850", "cp1251")}}
 REREAD_PRICE = 0.3
-#: States opened for one word at most, and results remembered by one worker.
-OPENED, MEMORY = 12, 300_000
+CHEAPEST = min(REREAD_PRICE, *PRICE.values())
+#: Operations of one restoration at most, and results remembered by one worker.
+LONGEST, MEMORY = 5, 300_000
 #: Words longer than this are searched in pieces.
 PIECE = 64
 
@@ -52,7 +53,7 @@ CHARSETS_FROM = ("cp1252", "latin-1", "mac_roman", "cp437", "cp1256", "cp850", "
 CHARSETS_TO = ("utf-8", "cp1252", "cp1256", "mac_roman", "cp437")
 ENDINGS = ("s", "t", "d", "re", "ll", "ve", "m")
 
-_UTF8 = regex.compile(rb"[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}")
+_UTF8 = regex.compile("[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}")
 _ENTITY = regex.compile(r"&(?:#\d{1,6}|#[xX][0-9a-fA-F]{1,5}|[A-Za-z]{2,8}\d{0,2});")
 _CORE = regex.compile(r"[\p{L}\p{M}]+(?:-[\p{L}\p{M}]+)*")
 
@@ -85,45 +86,36 @@ ENCODE = {c: _to_bytes(c) for c in CHARSETS_FROM}
 DECODE = {c: _from_bytes(c) for c in CHARSETS_TO if c != "utf-8"}
 
 
+class _Bytes(dict):
+    """Translation of characters to those of the bytes' numbers; what the character set lacks becomes a character that is no byte."""
+
+    def __missing__(self, c: int) -> int:
+        return self.setdefault(c, c if c < 128 else 0x100)
+
+
+_BYTES = {c: _Bytes({ord(k): b for k, b in t.items()}) for c, t in ENCODE.items()}
+
+
 def read_as_utf8(word: str, charset: str) -> str | None:
     """The word with every valid UTF-8 sequence among its bytes in the charset read as one; None if there is none."""
-    table, out, run, changed = ENCODE[charset], [], [], False
-
-    def flush() -> None:
-        nonlocal changed
-        if run:
-            raw, chars, done = bytes(table[c] for c in run), "".join(run), 0
-            for m in _UTF8.finditer(raw):
-                out.append(chars[done : m.start()])
-                out.append(m.group().decode("utf-8"))
-                done, changed = m.end(), True
-            out.append(chars[done:])
-            run.clear()
-
-    for c in word:
-        if c > "\x7f" and c in table:
-            run.append(c)
-        else:
-            flush()
-            out.append(c)
-    flush()
-    return "".join(out) if changed else None
+    out, done = [], 0
+    for m in _UTF8.finditer(word.translate(_BYTES[charset])):
+        out += word[done : m.start()], m.group().encode("latin-1").decode("utf-8")
+        done = m.end()
+    return "".join(out) + word[done:] if done else None
+
+
+REREAD = (("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp1252", "mac_roman"), ("cp1252", "cp1256"), ("cp1256", "cp1252"), ("latin-1", "cp1252"), ("cp1252", "cp437"), ("latin-1", "cp1256"), ("cp850", "cp1252"), ("cp1251", "cp1252"))
+_READ = {(s, t): {ord(c): DECODE[t][b] for c, b in ENCODE[s].items() if c > "\x7f" and b in DECODE[t]} for s, t in REREAD}
+_NO_CHARACTER = {(s, t): frozenset(c for c, b in ENCODE[s].items() if c > "\x7f" and b not in DECODE[t]) for s, t in REREAD}
 
 
 def read_as(word: str, source: str, target: str) -> str | None:
     """The word's characters written in source and read in target; None where nothing changes or a byte has no character."""
-    table, back, out, changed = ENCODE[source], DECODE[target], [], False
-    for c in word:
-        b = table.get(c) if c > "\x7f" else None
-        if b is None:
-            out.append(c)
-            continue
-        r = back.get(b)
-        if r is None:
-            return None
-        changed |= r != c
-        out.append(r)
-    return "".join(out) if changed else None
+    if not _NO_CHARACTER[source, target].isdisjoint(word):
+        return None
+    after = word.translate(_READ[source, target])
+    return after if after != word else None
 
 
 def moves(word: str) -> Iterator[tuple[str, str]]:
@@ -136,7 +128,7 @@ def moves(word: str) -> Iterator[tuple[str, str]]:
         w = read_as_utf8(word, source)
         if w is not None:
             yield f"{source}>utf-8", w
-    for source, target in (("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp1252", "mac_roman"), ("cp1252", "cp1256"), ("cp1256", "cp1252"), ("latin-1", "cp1252"), ("cp1252", "cp437"), ("latin-1", "cp1256"), ("cp850", "cp1252"), ("cp1251", "cp1252")):
+    for source, target in REREAD:
         w = read_as(word, source, target)
         if w is not None:
             yield f"{source}>{target}", w
@@ -258,27 +250,35 @@ _CONTENT = tuple(SIGNS + "([#")
 _NO_MARKS = {ord(c): None for c in INVISIBLE}
 
 
-def search(word: str, words: Words) -> tuple[str, float, float, tuple[str, ...]]:
-    """(cheapest word, its cost, the cost of the word itself, operations): best-first from the word."""
+def search(word: str, words: Words, below: float | None = None) -> tuple[str, float, float, tuple[str, ...]]:
+    """(cheapest word, its cost, the cost of the word itself, operations) of all that up to LONGEST operations reach.
+
+    Only what costs less than below, by default the word's own cost, is of interest; (word, below, own, ()) if nothing
+    does. Best-first, until no state is left whose operations alone cost less than the best found: costs are never
+    negative, so nothing behind the others can be cheaper. A state is opened again if it is reached for less, or in
+    fewer operations.
+    """
     own = cost(word, words)
-    best = (own, 0.0, word, ())
-    heap, visited, opened = [(own, *best)], {word}, 0
-    while heap and opened < OPENED:
-        _, at_cost, spent, at, path = heapq.heappop(heap)
-        if best[0] - best[1] <= 0.02 or len(path) >= 5:
+    best = (own if below is None else below, word, ())
+    heap, reached, costs = [(own, 0.0, word, ())], {word: [(0.0, 0)]}, {}
+    while heap:
+        _, spent, at, path = heapq.heappop(heap)
+        if len(path) >= LONGEST or spent + CHEAPEST >= best[0]:
             continue
-        opened += 1
         for operation, after in moves(at):
-            if after in visited:
+            price, n = spent + PRICE.get(operation, REREAD_PRICE), len(path) + 1
+            ways = reached.setdefault(after, [])
+            if price >= best[0] or any(p <= price + 1e-9 and k <= n for p, k in ways):
                 continue
-            visited.add(after)
-            price = spent + PRICE.get(operation, REREAD_PRICE)
-            node = (cost(after, words) + price, price, after, (*path, operation))
-            if node[0] < best[0]:
-                best = node
-            if node[0] < at_cost + (2.0 if operation.endswith("utf-8") else 0.8):  # states read as UTF-8 come first: that they can be read so is hardly chance
-                heapq.heappush(heap, (node[0] - 3.0 * sum(o.endswith("utf-8") for o in node[3]), *node))
-    return best[2], best[0], own, best[3]
+            ways.append((price, n))
+            if after not in costs:
+                costs[after] = cost(after, words)
+            total, path_after = costs[after] + price, (*path, operation)
+            if total < best[0]:
+                best = (total, after, path_after)
+            # states read as UTF-8 come first: that they can be read so is hardly chance
+            heapq.heappush(heap, (total - 3.0 * sum(o.endswith("utf-8") for o in path_after), price, after, path_after))
+    return best[1], best[0], own, best[2]
 
 
 #: What only a failed decoding leaves behind.
@@ -287,15 +287,14 @@ _REMAINS = regex.compile(r"^Â$|�|[\x80-\x84\x86-\x9f]|(?:â€|Ã[\x80-\xbf¢
 
 def judge(word: str, words: Words) -> tuple[bool, str]:
     """(garbled, restored word)."""
-    if cost(word, words) <= MARGIN:  # no operation could lower it by more
-        after, reached, own, operations = word, 0.0, 0.0, ()
-    else:
-        after, reached, own, operations = search(word, words)
-    decoded = any(o != "unescape" for o in operations)
-    if decoded and reached < own - MARGIN:
+    own = cost(word, words)
+    remains = _REMAINS.search(html.unescape(word) if "&" in word else word) is not None
+    below = own if remains else own - MARGIN
+    after, reached, _, operations = search(word, words, below)
+    if any(o != "unescape" for o in operations) and reached < own - MARGIN:
+        return True, after
+    if remains:
         return True, after
-    if _REMAINS.search(html.unescape(word) if "&" in word else word):
-        return True, after if reached < own else word
     return False, word
 
 
@@ -386,7 +385,7 @@ def _scan(batches: Iterator[pa.RecordBatch], shared, schema: pa.Schema) -> Itera
 def garbled_fields(df: DataFrame, record_id: str, columns: list[str]) -> DataFrame:
     """(record_id, field, text, restored) of every field that holds wrongly decoded characters.
 
-    restored is the cheapest text the search reached; where characters were lost it keeps what cannot be restored.
+    restored is the cheapest text that LONGEST operations a word reach; where characters were lost it keeps what cannot be restored.
     Null and empty fields are sound. Rows that repeat come out repeated, other columns are ignored.
     """
     shared = df.sparkSession.sparkContext.broadcast(known_words(df, columns))

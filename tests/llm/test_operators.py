@@ -313,6 +313,21 @@ def test_fields(spark):
     assert encoding.garbled_fields(df.where("false"), "version_id", ["text", "heading"]).count() == 0
 
 
+def test_search_reaches_the_cheapest_text(words):
+    assert encoding.judge("r\u00cc\u00a9sum\u00cc\u00a9", words) == (True, "résumé")  # a single-byte reading before UTF-8
+    assert encoding.judge("résumé".encode().decode("latin-1").encode().decode("latin-1").encode().decode("latin-1"), words) == (True, "résumé")
+    for word in ("ownerÆs", "rÃ©sumÃ©", "â€œlevy", "lévy"):
+        level, best = {word: 0.0}, encoding.cost(word, words)
+        for _ in range(3):
+            after = {}
+            for w, spent in level.items():
+                for operation, x in encoding.moves(w):
+                    after[x] = min(after.get(x, 99.0), spent + encoding.PRICE.get(operation, encoding.REREAD_PRICE))
+            level = after
+            best = min([best, *(encoding.cost(x, words) + spent for x, spent in level.items())])
+        assert encoding.search(word, words)[1] <= best + 1e-9
+
+
 def test_last_delivery(spark):
     df = spark.createDataFrame([(1, 1, "old"), (1, 2, "new"), (2, 1, None)], "version_id bigint, loaded_at int, text string")
     got = {r.version_id: r.joined for r in last_delivery(df, {"joined": token_text(F.col("text"))}).collect()}
