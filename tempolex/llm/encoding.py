@@ -40,8 +40,6 @@ REREAD_PRICE = 0.3
 CHEAPEST = min(REREAD_PRICE, *PRICE.values())
 #: Operations of one restoration at most, and results remembered by one worker.
 LONGEST, MEMORY = 5, 300_000
-#: Words longer than this are searched in pieces.
-PIECE = 64
 
 # Marks and letters that occur in correct text.
 QUOTES_OPEN, QUOTES_CLOSE = "“‘„«‹‚", "”’“»›‘"
@@ -55,6 +53,7 @@ ENDINGS = ("s", "t", "d", "re", "ll", "ve", "m")
 
 _UTF8 = regex.compile("[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}")
 _ENTITY = regex.compile(r"&(?:#\d{1,6}|#[xX][0-9a-fA-F]{1,5}|[A-Za-z]{2,8}\d{0,2});")
+_LETTERS, _LETTERS_MARKS, _LETTERS_BACK = regex.compile(r"\p{L}+"), regex.compile(r"[\p{L}\p{M}]+"), regex.compile(r"(?r)[\p{L}\p{M}]+")
 _CORE = regex.compile(r"[\p{L}\p{M}]+(?:-[\p{L}\p{M}]+)*")
 
 
@@ -206,29 +205,29 @@ def cost(word: str, words: Words) -> float:
             total += 0.1 if "\u0610" <= c <= "\u06ed" or c in "\u0300\u0301\u0302\u0303\u0308\u030a\u030c\u0327" else 1.5
         if c <= "\x7f" or c.isalpha() or unicodedata.combining(c):
             continue
-        before, after = clean[:i], clean[i + 1 :]
-        left, right = before[-1:].isalnum(), after[:1].isalnum()
-        near_left, near_right = left or before[-1:] in _CONTENT, right or after[:1] in _CONTENT
+        before, after = clean[i - 1 : i] if i else "", clean[i + 1 : i + 2]
+        left, right = before.isalnum(), after.isalnum()
+        near_left, near_right = left or before in _CONTENT, right or after in _CONTENT
         if "\x80" <= c <= "\x9f" or c == "�":
             total += 4.0
         elif c in "’‘" and left and right:
-            tail = regex.match(r"[\p{L}]+", after)
+            tail = _LETTERS.match(clean, i + 1)
             total += 0.1 if tail and bare(tail.group()) in ENDINGS else 1.6
-        elif c in QUOTES_OPEN and not left and (near_right or after[:1] in QUOTES_OPEN + DASHES + "(["):
+        elif c in QUOTES_OPEN and not left and (near_right or after in QUOTES_OPEN + DASHES + "(["):
             total += 0.1
-        elif c in QUOTES_CLOSE and not right and (near_left or before[-1:] in QUOTES_CLOSE + DASHES + ".,;:!?)]%…"):
+        elif c in QUOTES_CLOSE and not right and (near_left or before in QUOTES_CLOSE + DASHES + ".,;:!?)]%…"):
             total += 0.1
         elif c in DASHES:
-            tail = regex.match(r"[\p{L}\p{M}]+", after) if left else None
+            tail = _LETTERS_MARKS.match(clean, i + 1) if left else None
             total += 0.1 if not tail or words.knows(bare(tail.group())) else 1.2
         elif c in DOTS and not right:
-            head = regex.search(r"[\p{L}\p{M}]+$", before)
+            head = _LETTERS_BACK.match(clean, endpos=i)
             total += (0.1 if words.knows(bare(head.group())) else 0.8) if head else 0.1
         elif c == "\u037e" and not right:
             total += 0.1
-        elif c in "§¶№€£±©®™•†‡Ø" and not left and (size == 1 or not after[:1].isalpha() or c in "€£"):
+        elif c in "§¶№€£±©®™•†‡Ø" and not left and (size == 1 or not after.isalpha() or c in "€£"):
             total += 0.1
-        elif c in "½¼¾°²³µ%‰" and (before[-1:].isdigit() or before[-1:] == "m" or (c == "µ" and after[:1] == "m")) and not (right and c != "µ"):
+        elif c in "½¼¾°²³µ%‰" and (before.isdigit() or before == "m" or (c == "µ" and after == "m")) and not (right and c != "µ"):
             total += 0.1
         elif unicodedata.category(c) == "Nd":
             total += 0.1
@@ -237,7 +236,7 @@ def cost(word: str, words: Words) -> float:
         elif c in SIGNS:
             total += 1.5
         elif c in "۔،؛؟":
-            total += 0.1 if size == 1 or "\u0600" <= before[-1:] <= "\u06ff" or "\u0600" <= after[:1] <= "\u06ff" else 1.5
+            total += 0.1 if size == 1 or "\u0600" <= before <= "\u06ff" or "\u0600" <= after <= "\u06ff" else 1.5
         else:
             total += 2.0
     arabic = sum("؀" <= c <= "ۿ" for c in clean)
@@ -317,11 +316,7 @@ class Judge:
         if found is None:
             if len(self.known) >= MEMORY:
                 self.known.clear()
-            if len(w) <= PIECE:
-                found = judge(w, self.words)
-            else:
-                parts = [judge(w[i : i + PIECE], self.words) for i in range(0, len(w), PIECE)]
-                found = any(g for g, _ in parts), "".join(p for _, p in parts)
+            found = judge(w, self.words)
             self.known[w] = found
         return found
 

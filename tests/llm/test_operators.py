@@ -328,6 +328,15 @@ def test_search_reaches_the_cheapest_text(words):
         assert encoding.search(word, words)[1] <= best + 1e-9
 
 
+def test_long_words_are_searched_whole(words):
+    j = encoding.Judge(words)
+    for urdu in ("عدالتیں", "قانونی", "the\xa0owner\xa0is\xa0final\xa0résumé"):
+        garbled = "".join(f"&#{ord(c)};" for c in misread(urdu, "cp1252"))
+        assert len(garbled) > 64 and j.field(garbled) == urdu
+    for n in range(58, 66):
+        assert j.field("a" * n + misread("é", "cp1252")) == "a" * n + "é"
+
+
 def test_last_delivery(spark):
     df = spark.createDataFrame([(1, 1, "old"), (1, 2, "new"), (2, 1, None)], "version_id bigint, loaded_at int, text string")
     got = {r.version_id: r.joined for r in last_delivery(df, {"joined": token_text(F.col("text"))}).collect()}
