@@ -8,7 +8,7 @@ leads to a clearly cheaper one, or if it holds characters that only a failed dec
 
 Plausibility needs to know words. All words of the collection are counted; those written in ASCII and seen often
 enough go into a bitmap of fixed size, and words with accents count as known only if at least one in `LEXICON_SHARE`
-records has them, so the list of those has a size bound too.
+records has them, so the list of those has a size bound too. Forms that are themselves misread words do not count.
 """
 
 from __future__ import annotations
@@ -54,6 +54,8 @@ ENDINGS = ("s", "t", "d", "re", "ll", "ve", "m")
 _UTF8 = regex.compile("[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}")
 _ENTITY = regex.compile(r"&(?:#\d{1,6}|#[xX][0-9a-fA-F]{1,5}|[A-Za-z]{2,8}\d{0,2});")
 _LETTERS, _LETTERS_MARKS, _LETTERS_BACK = regex.compile(r"\p{L}+"), regex.compile(r"[\p{L}\p{M}]+"), regex.compile(r"(?r)[\p{L}\p{M}]+")
+#: A strange capital within a word is what a wrong reading leaves of an accented letter.
+_INNER_CAPITAL = regex.compile(r"\p{Ll}(?![A-Z])\p{Lu}")
 _CORE = regex.compile(r"[\p{L}\p{M}]+(?:-[\p{L}\p{M}]+)*")
 
 
@@ -146,9 +148,10 @@ def bare(word: str) -> str:
 class Words:
     """Which words the collection knows."""
 
-    def __init__(self, bitmap: bytes, lexicon: list[str]):
+    def __init__(self, bitmap: bytes, lexicon: list[str], misread: list[str] = ()):
+        """misread: forms that are not taken for the accented word they are in lower case."""
         self.bits = np.frombuffer(bitmap, np.uint8)
-        self.accented = {w.lower() for w in lexicon}
+        self.accented, self.misread = {w.lower() for w in lexicon}, set(misread)
         self.spoken = {bare(w) for w in lexicon}
 
     def knows(self, word: str) -> bool:
@@ -158,13 +161,13 @@ class Words:
 
 def _letter_cost(core: str, words: Words) -> float:
     """Cost of one run of letters."""
-    if core.isascii() or core in ("Ø", "\u039cM", "\u039cm", "\u03bcm"):
+    if core.isascii() or core in ("Ø", "\u039cM", "\u039cm", "\u03bcm", "\u00b5m"):
         return 0.0
     strange = [c for c in core if c > "\x7f"]
     urdu = sum(c in URDU for c in strange)
     if urdu == len(core):
         return 0.1 if urdu > 1 else 1.0
-    if core.lower() in words.accented:
+    if core.lower() in words.accented and core not in words.misread and not _INNER_CAPITAL.search(core):
         return 0.2
     cost, latin = 0.0, True
     for i, c in enumerate(core):
@@ -334,26 +337,58 @@ class Judge:
 
 
 def word_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(word, n): whole words between white space without the ASCII marks around them, in lower case, seen KNOWN_FROM times or more."""
+    """(word, form, n): whole words between white space without the ASCII marks around them, in lower case, with n each.
+
+    Words written in ASCII have no form and are left out if seen less than KNOWN_FROM times; others have a row for every form they are written in.
+    """
     text = F.concat_ws(" ", *[F.col(c) for c in columns])
     token = F.regexp_replace("t", r"^[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e“‘„«–—]+|[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e”’“»…–—]+$", "")
-    tokens = df.select(F.explode(F.split(F.lower(text), r"[ \t\r\n]+")).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    return tokens.select(token.alias("word"), "n").where(F.col("word").rlike(r"^[\p{L}-]{1,40}$")).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= KNOWN_FROM)
+    tokens = df.select(F.explode(F.split(text, r"[ \t\r\n]+")).alias("t")).groupBy("t").agg(F.count("*").alias("n")).select(token.alias("form"), "n")
+    words = tokens.select(F.lower("form").alias("word"), "form", "n").where(F.col("word").rlike(r"^[\p{L}-]{1,40}$"))
+    forms = words.withColumn("form", F.when(~F.col("word").rlike("^[a-z-]+$"), F.col("form")))
+    return forms.groupBy("word", "form").agg(F.sum("n").alias("n")).where(F.col("form").isNotNull() | (F.col("n") >= KNOWN_FROM))
+
+
+def sound_words(bitmap: bytes, forms: dict[str, dict[str, int]], least: int) -> tuple[list[str], list[str]]:
+    """(accented words, misread forms) of frequent words, given as the forms they are written in and how often each is seen.
+
+    A form is misread if operations on its bytes make it a clearly cheaper word of letters, or one makes it another form
+    of the list, which is more frequent. A word is accepted if its other forms are seen least times. Letters that would
+    become quotation marks ('attaché', 'attach»') are no evidence here.
+    """
+    none = Words(bitmap, [])
+
+    def misread(form: str) -> bool:
+        if _INNER_CAPITAL.search(form):
+            return True
+        garbled, restored = judge(form, none)
+        below = cost(form, none) - MARGIN
+        cheaper = [a for o, a in moves(form) if cost(a, none) + PRICE.get(o, REREAD_PRICE) < below]
+        return any(_CORE.fullmatch(a) for a in [*cheaper, *[restored] * garbled] if a != form)
+
+    bad = {f for fs in forms.values() for f in fs if misread(f)}
+    seen = {f: n for fs in forms.values() for f, n in fs.items() if f not in bad}
+    bad |= {f for f, n in seen.items() if any(seen.get(after, 0) > n for _, after in moves(f))}
+    accepted = [w for w, fs in forms.items() if sum(n for f, n in fs.items() if f not in bad) >= least]
+    return accepted, sorted(bad)
 
 
-def known_words(df: DataFrame, columns: list[str]) -> tuple[bytes, list[str]]:
-    """(bitmap of the ASCII words, accented words) of the collection, both of bounded size."""
+def known_words(df: DataFrame, columns: list[str]) -> tuple[bytes, list[str], list[str]]:
+    """(bitmap of the ASCII words, accented words, misread forms of frequent words) of the collection, all of bounded size."""
     rows = df.count()
     counts = materialise(word_counts(df, columns), "words")
     h = F.crc32("word") % BITMAP_BITS
-    ascii_words = counts.where(F.col("word").rlike("^[a-z-]+$")).select(h.cast("bigint").alias("h"))
+    ascii_words = counts.where("form is null").select(h.cast("bigint").alias("h"))
     slices = ascii_words.groupBy(F.floor(F.col("h") / 32768).alias("b")).agg(F.bitmap_construct_agg(F.col("h") % 32768).alias("m")).collect()
     bitmap = bytearray(BITMAP_BITS // 8)
     for s in slices:  # at most BITMAP_BITS / 32768 rows of 4 KB
         bitmap[s.b * 4096 : s.b * 4096 + len(s.m)] = s.m
+    least = max(KNOWN_FROM, -(-rows // LEXICON_SHARE))
     ascii_letters, letters = F.length(F.regexp_replace("word", "[^a-z]", "")), F.length("word")
-    often = counts.where(~F.col("word").rlike("^[a-z-]+$") & (ascii_letters * 2 >= letters) & (F.col("n") * LEXICON_SHARE >= rows)).select("word")
-    return bytes(bitmap), [r.word for r in often.collect()]
+    often = counts.where(F.col("form").isNotNull() & (ascii_letters * 2 >= letters))
+    written = often.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("form", "n")).alias("forms")).where(F.col("n") >= least)
+    forms = {r.word: {f.form: f.n for f in r.forms} for r in written.select("word", "forms").collect()}
+    return bytes(bitmap), *sound_words(bytes(bitmap), forms, least)
 
 
 _judges: dict = {}
