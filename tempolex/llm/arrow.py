@@ -15,7 +15,10 @@ BATCH_ROWS = 2000
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Sets the rows of an Arrow batch unless the session's owner has: Spark reads that setting only when a query runs."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
     return df
 
 

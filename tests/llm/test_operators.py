@@ -141,6 +141,25 @@ def test_similar_texts_are_complete(spark, seed, threshold, width):
     assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
 
 
+def test_divided_anchors_let_every_two_texts_meet():
+    texts = np.arange(100, 160)
+    own, run = np.tile(np.arange(60), 2), np.repeat(np.array([5, 6], np.uint64), 60)
+    out, key, place = neardup.divided(texts, own, run, np.arange(120), np.repeat([4, 1], 60))
+    keys = [set(key[(out == i) & (place < 60)].tolist()) for i in range(60)]
+    assert all(a & b for a, b in itertools.combinations(keys, 2)) and {len(k) for k in keys} == {3}
+    assert set(key[place >= 60].tolist()) == {6} and (place >= 60).sum() == 60
+    largest = max(Counter(key[place < 60].tolist()).values())
+    assert len(set(key[place < 60].tolist())) == 6 and largest < 60
+
+
+def test_a_text_is_no_pair_with_itself():
+    assert neardup.distinct_pairs(np.array([7, 7, 9, 8]), np.array([7, 8, 8, 9])).tolist() == [[7, 8], [8, 9]]
+
+
+def test_parts_of_an_anchor():
+    assert neardup.part_count(np.array([0, 1, 20, 63])).tolist()[:3] == [1, 1, 1] and neardup.part_count(np.array([63]))[0] > 10**7
+
+
 def test_record_pairs_of_small_and_large_classes(spark):
     rows = [*((i, 7, 30) for i in range(3)), *((i, 8, 30) for i in range(10, 60)), (90, 9, 5)]
     belongs = neardup.members(spark.createDataFrame(rows, "id bigint, text_id bigint, tokens int"), "id")
