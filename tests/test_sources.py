@@ -9,7 +9,7 @@ from tempolex.functions import acts
 from tempolex.functions.diffing import word_diff
 from tempolex.sources import corpus_io
 from tempolex.sources.cleaning import clean_pages, html_text, text_on
-from tempolex.sources.splitting import buried_numbers, heaviest_chain, split_act
+from tempolex.sources.splitting import alike, buried_numbers, buried_offset, division_of, heaviest_chain, is_trailer, split_act, tail_run
 
 ACT = """THE WIDGET ACT, 1990
 CONTENTS
@@ -30,12 +30,33 @@ THE SCHEDULE
 
 def test_split():
     got, report = split_act(ACT)
-    assert [(p.number, p.heading, p.chapter) for p in got] == [("1", "Short title", "I"), ("2", "Definitions", "I"), ("3", "Offences", "II")]
+    assert [(p.number, p.heading, p.chapter) for p in got if not p.note] == [("1", "Short title", "I"), ("2", "Definitions", "I"), ("3", "Offences", "II")]
+    assert got[-1].note == "omitted" and [ACT[p.start : p.end].split(".")[0] for p in got] == ["1", "2", "3", "4"]
     assert "10. a thing of ten parts" in got[1].text and report["omitted"] == 1 and report["missing_from_contents"] == 0
     assert split_act(None) == split_act("")
     assert split_act("")[0] == []
 
 
+def test_long_bodies_stay():
+    long = "word " * 5_000
+    got, report = split_act(f"1. Short title.—Yes.\n2. Long one.—{long}\n3. Last.—Done.")
+    assert [(p.number, p.note) for p in got] == [("1", ""), ("2", "too_long"), ("3", "")] and got[1].text == long.strip() and report["too_long"] == 1
+
+
+def test_numbers_behind_the_contents():
+    body = "".join(f"{n}. Heading {n}.—Body {n}.\n" for n in range(1, 9))
+    got, report = split_act("CONTENTS\n" + "".join(f"{n}. Heading {n}\n" for n in range(1, 5)) + body)
+    assert len(got) == 8 and report["unlisted"] == 4 and report["tail_run"] == 4 and report["missing_from_contents"] == 0
+    assert tail_run("4", ["5", "6"]) == 0 and tail_run("4", ["5", "6", "8", "7"]) == 3
+
+
+def test_headings_and_contents():
+    assert alike("Punishment for theft", "Punishment for the theft") and not alike("Theft", "Robbery") and not alike("", "")
+    assert [division_of(t) for t in ("CHAPTER IV", "PART 2.— GENERAL", "CHAPTER", "PARTY II", "Part I", "CHAPTER XVI-A")] == ["IV", "2", None, None, None, "XVI"]
+    assert [is_trailer(t) for t in ("SCHEDULE I", "THE FIRST SCHEDULE", "APPENDIX", "The Schedule", "THE ACT")] == [True, True, True, False, False]
+    assert buried_offset("57", "Body. 58. Another heading. 59. And one. 60. A third.") == 6 and buried_offset("57", "") is None
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_chain_by_brute_force(seed):
     rnd = random.Random(seed)
