@@ -1,10 +1,11 @@
 """Frequency of every distinct term or n-gram: suffix array with common-prefix intervals.
 
-Every chunk of whole records builds a suffix array over its tokens, sorted on the first max_n tokens. The runs of
-neighbouring suffixes whose common prefix reaches n tokens are the intervals of depth n: the length of such a run is
-the number of occurrences of its n-gram. The number of records is that length less the duplicates within records:
-for each pair of suffixes of one record that follow each other in the array (with only other records between them)
-the length of their common prefix tells in which intervals the later one repeats the earlier.
+Every chunk of whole records builds the suffix array of its tokens, sorted to the ends of the records, by prefix
+doubling. The common-prefix array comes from the ranks the doubling leaves at each power of two. A run of neighbouring
+suffixes whose common prefixes reach n tokens is an interval of depth n: its length is the number of occurrences of its
+n-gram, for any n. The number of records is that length less the duplicates within records: for each two suffixes of one
+record that follow each other in the array (with only other records between them) the length of their common prefix
+tells in which intervals the later one repeats the earlier.
 
 Records are never divided between chunks, so counts of chunks add up. Each chunk sends one row per distinct n-gram,
 which is the aggregation before the shuffle: the most frequent terms reach the reducers once per chunk.
@@ -22,7 +23,52 @@ from pyspark.sql import functions as F
 
 from tempolex.llm.arrow import grouped_batches, plain, small_batches, token_codes
 
-CHUNK_BYTES = 24 << 20
+#: About a million tokens: three numbers of that size fit one 64-bit key, which sorts fastest.
+CHUNK_BYTES = 6 << 20
+
+
+def dense_ranks(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The place of each pair (high, low) among the distinct pairs in order, from 1."""
+    total = len(high)
+    bits = [int(x.max()).bit_length() for x in (high, low)] + [total.bit_length()]
+    if sum(bits) > 63:
+        return np.unique(high * (int(low.max()) + 1) + low, return_inverse=True)[1].astype(np.int64) + 1
+    keys = np.sort((high << (bits[1] + bits[2])) | (low << bits[2]) | np.arange(total))
+    pairs = keys >> bits[2]
+    ranks = np.empty(total, np.int64)
+    ranks[keys & ((1 << bits[2]) - 1)] = np.cumsum(np.r_[True, pairs[1:] != pairs[:-1]])
+    return ranks
+
+
+def suffix_array(codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(array, ranks): the suffixes in order, each to the end of its record, and their ranks by the first 1, 2, 4, ... tokens.
+
+    left is the number of tokens from each place to the end of its record. Equal suffixes keep the order of their places.
+    """
+    ranks, step = [dense_ranks(codes, np.zeros_like(codes))], 1
+    while True:
+        ahead = np.zeros(len(codes), np.int64)
+        ahead[: len(codes) - step] = ranks[-1][step:]
+        ahead[left <= step] = 0
+        finer = dense_ranks(ranks[-1], ahead)
+        if finer.max() == ranks[-1].max():
+            return np.argsort(finer, kind="stable"), ranks
+        ranks.append(finer)
+        step *= 2
+        if step >= len(codes):
+            return np.argsort(finer, kind="stable"), ranks
+
+
+def common_prefixes(one: np.ndarray, two: np.ndarray, ranks: list[np.ndarray], left: np.ndarray) -> np.ndarray:
+    """Tokens that the suffixes at one and two have in common from their beginnings, row by row."""
+    equal = ranks[-1][one] == ranks[-1][two]  # no finer ranks exist: equal to the end
+    at, to = one.astype(np.int32), two.astype(np.int32)
+    for k in range(len(ranks) - 2, -1, -1):
+        rank = np.r_[ranks[k], np.zeros(1 << len(ranks), np.int64)].astype(np.int32)
+        step = (rank[at] == rank[to]).astype(np.int32) << k
+        at, to = at + step, to + step
+    shared = at - one  # beyond the end of a record only where both ended together
+    return np.where(equal, left[one], np.minimum(shared, np.minimum(left[one], left[two])))
 
 
 def interval_counts(codes: np.ndarray, lengths: np.ndarray, max_n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -31,34 +77,22 @@ def interval_counts(codes: np.ndarray, lengths: np.ndarray, max_n: int) -> list[
     if not total:
         return [(np.zeros(0, np.int64),) * 3 for _ in range(max_n)]
     record = np.repeat(np.arange(len(lengths)), lengths)
-    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(total)  # tokens of the suffix within its record
-    base = int(codes.max()) + 2
-    # rank of the first n tokens, built token by token; 0 stands for the end of the record
-    ranks, rank = [], np.zeros(total, np.int64)
-    for n in range(max_n):
-        nxt = np.zeros(total, np.int64)
-        nxt[: total - n] = codes[n:] + 1 if n else codes + 1
-        nxt[left <= n] = 0
-        if n == 0:
-            rank = nxt
-        else:
-            _, rank = np.unique(rank * base + nxt, return_inverse=True)
-        ranks.append(rank)
-    array = np.argsort(ranks[-1], kind="stable")
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(total)
+    array, ranks = suffix_array(codes, left)
+    prefix = np.r_[0, common_prefixes(array[:-1], array[1:], ranks, left)]  # with the suffix before
     # suffixes of one record that follow each other in the array
-    by_record = np.lexsort((np.arange(total), record[array]))
+    by_record = np.argsort(record[array], kind="stable")
     same = record[array][by_record][1:] == record[array][by_record][:-1]
-    first, again = array[by_record][:-1][same], array[by_record][1:][same]
+    first, again = by_record[:-1][same], by_record[1:][same]
+    repeated = common_prefixes(array[first], array[again], ranks, left)
     out = []
     for n in range(1, max_n + 1):
-        r = ranks[n - 1]
-        held = array[left[array] >= n]
-        depth_ranks = r[held]
-        heads = np.flatnonzero(np.r_[True, depth_ranks[1:] != depth_ranks[:-1]]) if len(held) else np.zeros(0, np.int64)
-        occurrences = np.diff(np.r_[heads, len(held)])
-        repeats = (r[first] == r[again]) & (left[first] >= n) & (left[again] >= n)
-        duplicate = np.bincount(r[again[repeats]], minlength=int(r.max()) + 1)
-        out.append((held[heads], occurrences, occurrences - duplicate[depth_ranks[heads]]))
+        long = left[array] >= n
+        interval = np.cumsum(prefix < n) - 1  # of each place of the array
+        heads = np.flatnonzero((prefix < n) & long)
+        occurrences = np.bincount(interval[long], minlength=int(interval[-1]) + 1)
+        duplicates = np.bincount(interval[again[repeated >= n]], minlength=int(interval[-1]) + 1)
+        out.append((array[heads], occurrences[interval[heads]], (occurrences - duplicates)[interval[heads]]))
     return out
 
 

@@ -52,8 +52,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Occurrences and records of every n-gram of one and two tokens, with marks."""
-    return mark_terms(ngram_counts(_corpus(spark, sf_dir, False), "joined", max_n=2), _records(spark, sf_dir))
+    """Occurrences and records of every n-gram of one to four tokens, with marks."""
+    return mark_terms(ngram_counts(_corpus(spark, sf_dir, False), "joined", max_n=4), _records(spark, sf_dir))
 
 
 def _deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,8 +142,7 @@ df AS (SELECT term, count(*) AS records FROM tok GROUP BY ALL), n AS (SELECT cou
 SELECT term, CASE WHEN records <= 2 THEN 'rare' ELSE 'common' END AS mark FROM df, n WHERE records <= 2 OR records > 0.3 * n""",
     "p4_counts": f"""
 WITH {_RECORDS}, t AS (SELECT version_id, {_TOKENS.format("text")} AS l FROM rec WHERE text IS NOT NULL),
-g AS (SELECT version_id, 1::INTEGER AS n, unnest(l) AS term FROM t UNION ALL
-      SELECT version_id, 2::INTEGER, unnest(list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1])) FROM t),
+g AS (SELECT version_id, n::INTEGER AS n, unnest(list_transform(range(1, len(l) - n + 2), lambda i: array_to_string(l[i : i + n - 1], ' '))) AS term FROM t, range(1, 5) k(n)),
 c AS (SELECT n, term, count(*) AS occurrences, count(DISTINCT version_id) AS records FROM g GROUP BY ALL),
 a AS (SELECT count(DISTINCT version_id) AS al FROM sample_corpus)
 SELECT n, term, occurrences, records, CASE WHEN records <= 2 THEN 'rare' WHEN records > 0.3 * al THEN 'common' ELSE '' END AS mark FROM c, a""",
