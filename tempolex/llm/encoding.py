@@ -3,8 +3,9 @@
 A text is taken apart at its white space. For each distinct word with characters beyond ASCII (or an HTML entity) a
 search runs over the texts reachable from it: write it in one character set and read it in another, or read its
 entities. A cost, which is low for plausible characters in plausible places, says which state to open next; the search
-goes on until no state left can lead to a cheaper one, and the cheapest is the restored word. A word is garbled if an operation on its bytes
-leads to a clearly cheaper one, or if it holds characters that only a failed decoding leaves behind.
+goes on until no state left can lead to a cheaper one, and the cheapest is the restored word. One more operation, the
+last of its path, gives up characters that only a failed decoding leaves behind. A word is garbled if an operation leads
+to a clearly cheaper one; what was given up stays in the restored word as it is, for it cannot be restored.
 
 Plausibility needs to know words. All words of the collection are counted; those written in ASCII and seen often
 enough go into a bitmap of fixed size, and words with accents count as known only if at least one in `LEXICON_SHARE`
@@ -36,7 +37,9 @@ LEXICON_SHARE = 2000
 MARGIN = 0.55
 #: What an operation adds to the cost: reading UTF-8 or entities proves itself, another single-byte reading must earn more.
 PRICE = {"unescape": 0.05, **{f"{c}>utf-8": 0.05 for c in ("cp1252", "latin-1", "mac_roman", "cp437", "cp1256", "cp850", "cp1251")}}
-REREAD_PRICE = 0.3
+REREAD_PRICE, GIVE_UP, GIVE_UP_PRICE = 0.3, "lost>nothing", 1.2  # the last for each place given up
+#: What each character that only a failed decoding leaves behind costs beyond its place.
+REMAINS_COST = 1.5
 CHEAPEST = min(REREAD_PRICE, *PRICE.values())
 #: Operations of one restoration at most, and results remembered by one worker.
 LONGEST, MEMORY = 5, 300_000
@@ -52,6 +55,8 @@ CHARSETS_TO = ("utf-8", "cp1252", "cp1256", "mac_roman", "cp437")
 ENDINGS = ("s", "t", "d", "re", "ll", "ve", "m")
 
 _UTF8 = regex.compile("[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}")
+#: What only a failed decoding leaves behind.
+_REMAINS = regex.compile(r"^Â$|�|[\x80-\x84\x86-\x9f]|(?:â€|Ã[\x80-\xbf¢‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ€]|Â[\x80-\xbf])")
 _ENTITY = regex.compile(r"&(?:#\d{1,6}|#[xX][0-9a-fA-F]{1,5}|[A-Za-z]{2,8}\d{0,2});")
 _LETTERS, _LETTERS_MARKS, _LETTERS_BACK = regex.compile(r"\p{L}+"), regex.compile(r"[\p{L}\p{M}]+"), regex.compile(r"(?r)[\p{L}\p{M}]+")
 #: A strange capital within a word is what a wrong reading leaves of an accented letter.
@@ -137,6 +142,12 @@ def moves(word: str) -> Iterator[tuple[str, str]]:
         yield "lost>mark", regex.sub(r"(?<=\p{L})â(?=s\b)", "’", regex.sub(r"^([^\p{L}]*)â(?=\p{L})", r"\1“", regex.sub(r"(?<=[\p{L}.,;])â(?=[^\p{L}]*$)", "”", word)))
 
 
+def given_up(word: str) -> tuple[str, float]:
+    """(the word without what only a failed decoding leaves behind, what that costs)."""
+    after, places = _REMAINS.subn("", word)
+    return after, GIVE_UP_PRICE * places
+
+
 def bare(word: str) -> str:
     """Lower case without accents."""
     if word.isascii():
@@ -192,16 +203,18 @@ def cost(word: str, words: Words) -> float:
     """How implausible a word's characters are where they stand; about 0 for correct text."""
     if word.isascii():
         return 3.0 * len(_ENTITY.findall(word)) if "&" in word else 0.0
-    total = 3.0 * len(_ENTITY.findall(word)) if "&" in word else 0.0
+    total = (3.0 * len(_ENTITY.findall(word)) if "&" in word else 0.0) + REMAINS_COST * sum(1 for _ in _REMAINS.finditer(word))
     clean = word.translate(_NO_MARKS)
     total += 0.05 * (len(word) - len(clean))
     if ("\xad" in word or "\u200d" in word or "\u200c" in word) and not all(words.knows(bare(m.group())) for m in _CORE.finditer(clean)):
         total += 0.8
     if "\xa0" in word:
-        total += sum(0.15 if not t or not t.isalpha() or words.knows(bare(t)) else 0.8 for t in (regex.sub(r"^\P{L}+|\P{L}+$", "", x) for x in word.split("\xa0")))
+        total += sum(0.15 if not t or not t.isalpha() or t[0] in URDU or words.knows(bare(t)) else 0.8 for t in (regex.sub(r"^\P{L}+|\P{L}+$", "", x) for x in word.split("\xa0")))
     cores = list(_CORE.finditer(clean))
     for m in cores:
         total += _letter_cost(m.group(), words)
+    if len(cores) == 1 and cores[0].group() in URDU and len(cores[0].group()) == 1:
+        total -= 0.5  # a letter of its own is not as odd as one among others
     size = len(clean)
     for i, c in enumerate(clean):
         if unicodedata.combining(c):
@@ -253,29 +266,36 @@ _NO_MARKS = {ord(c): None for c in INVISIBLE}
 
 
 def search(word: str, words: Words, below: float | None = None) -> tuple[str, float, float, tuple[str, ...]]:
-    """(cheapest word, its cost, the cost of the word itself, operations) of all that up to LONGEST operations reach.
+    """(restored word, its cost, the cost of the word itself, operations) of the cheapest state that up to LONGEST operations reach.
 
     Only what costs less than below, by default the word's own cost, is of interest; (word, below, own, ()) if nothing
     does. Best-first, until no state is left whose operations alone cost less than the best found: costs are never
     negative, so nothing behind the others can be cheaper. A state is opened again if it is reached for less, or in
-    fewer operations.
+    fewer operations. The restored word keeps what the last operation gave up.
     """
     own = cost(word, words)
     best = (own if below is None else below, word, ())
     heap, reached, costs = [(own, 0.0, word, ())], {word: [(0.0, 0)]}, {}
+
+    def cost_of(text: str) -> float:
+        if text not in costs:
+            costs[text] = cost(text, words)
+        return costs[text]
+
     while heap:
         _, spent, at, path = heapq.heappop(heap)
         if len(path) >= LONGEST or spent + CHEAPEST >= best[0]:
             continue
+        after, price = given_up(at)
+        if price and spent + price < best[0] and cost_of(after) + spent + price < best[0]:
+            best = (cost_of(after) + spent + price, at, (*path, GIVE_UP))
         for operation, after in moves(at):
             price, n = spent + PRICE.get(operation, REREAD_PRICE), len(path) + 1
             ways = reached.setdefault(after, [])
             if price >= best[0] or any(p <= price + 1e-9 and k <= n for p, k in ways):
                 continue
             ways.append((price, n))
-            if after not in costs:
-                costs[after] = cost(after, words)
-            total, path_after = costs[after] + price, (*path, operation)
+            total, path_after = cost_of(after) + price, (*path, operation)
             if total < best[0]:
                 best = (total, after, path_after)
             # states read as UTF-8 come first: that they can be read so is hardly chance
@@ -283,29 +303,15 @@ def search(word: str, words: Words, below: float | None = None) -> tuple[str, fl
     return best[1], best[0], own, best[2]
 
 
-#: What only a failed decoding leaves behind.
-_REMAINS = regex.compile(r"^Â$|�|[\x80-\x84\x86-\x9f]|(?:â€|Ã[\x80-\xbf¢‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ€]|Â[\x80-\xbf])")
-
-
 def judge(word: str, words: Words) -> tuple[bool, str]:
-    """(garbled, restored word)."""
-    own = cost(word, words)
-    remains = _REMAINS.search(html.unescape(word) if "&" in word else word) is not None
-    below = own if remains else own - MARGIN
-    after, reached, _, operations = search(word, words, below)
-    if any(o != "unescape" for o in operations) and reached < own - MARGIN:
-        return True, after
-    if remains:
-        return True, after
-    return False, word
+    """(garbled, restored word): garbled if the search finds a word cheaper by MARGIN, not by reading entities alone."""
+    after, _, _, operations = search(word, words, cost(word, words) - MARGIN)
+    garbled = any(o != "unescape" for o in operations)
+    return garbled, after if garbled else word
 
 
 _SPLIT = regex.compile(r"([ \t\r\n]+)")
 _WORTH = regex.compile(r"[^\x00-\x7f]|&[#A-Za-z]")
-#: Words whose strange characters are all Urdu letters or marks in their usual places need no search.
-_USUAL = regex.compile(
-    rf"[{QUOTES_OPEN}(\[{INVISIBLE}]*(?:[A-Za-z0-9()/,.&'{INVISIBLE}-]*|[{URDU}۰-۹٠-٩]*)(?:[’'](?:s|t))?[.,;:!?){INVISIBLE}]*[{QUOTES_CLOSE}…]?[.,;:!?)\];;{INVISIBLE}]*|[–—§¶№€£±]|\p{{Nd}}+"
-)
 
 
 class Judge:
@@ -328,7 +334,7 @@ class Judge:
         parts, bad = _SPLIT.split(text), False
         for i in range(0, len(parts), 2):
             w = parts[i]
-            if not w or (w.isascii() and "&" not in w) or not _WORTH.search(w) or ("&" not in w and _USUAL.fullmatch(w)):
+            if not w or (w.isascii() and "&" not in w) or not _WORTH.search(w):
                 continue
             garbled, after = self.word(w)
             if garbled:
