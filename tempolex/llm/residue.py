@@ -1,9 +1,9 @@
 """Template residue, filler, error pages and script notices: a multi-pattern automaton over normalised text.
 
-One automaton holds whole phrases in several languages, which are findings in themselves, and short probes (a brace
-pair, a status reason), which only say where to look: a small pattern around them then decides. Words of dummy Latin
-count only where several stand close together. A document comes out with any finding; it is marked for exclusion when the
-findings cover much of it.
+One automaton holds whole phrases in several languages, which are findings in themselves, and the openings of slots and
+status lines. Every finding begins with a hit of the automaton: where an opening stands, the form it opens is tried at
+that place and nowhere else. Words of dummy Latin count only where several stand close together. A document comes out with
+any finding; it is marked for exclusion when the findings cover much of it.
 """
 
 from __future__ import annotations
@@ -18,6 +18,13 @@ from pyspark.sql import DataFrame
 
 from tempolex.llm.arrow import plain, small_batches
 
+# What a script notice speaks of, what it asks for and what it states; each two are joined into phrases.
+SCRIPT_SUBJECTS = ["javascript", "java script", "scripts", "scripting", "cookies"]
+SCRIPT_ASKED = ["enable", "activate", "allow", "turn on", "switch on", "enable your browser's"]
+SCRIPT_STATED = ["must be enabled", "must be turned on", "must be switched on", "must be allowed", "needs to be enabled", "need to be enabled", "has to be enabled", "have to be enabled", "should be enabled",
+                 "to be enabled", "to be switched on", "to be turned on", "is disabled", "are disabled", "is not enabled", "are not enabled", "is turned off", "are turned off", "is switched off", "are switched off",
+                 "is blocked", "are blocked", "is off", "are off", "is not supported", "disabled in your browser"]
+
 # Phrases of error pages, script and cookie notices and filler.
 SCRIPT = """
 enable javascript|enable java script|enabling javascript|allow javascript|activate javascript|turn on javascript|switch on javascript
@@ -75,25 +82,72 @@ REASONS = "bad request|unauthorized|unauthorised|payment required|forbidden|not
 
 _STATUS = regex.compile(r"(?<![\w.,/])(?:(?:http(?:/\d(?:\.\d)?)?|error|status|code|http error|http status|error code)[ :#-]{0,3})?(?:4[0-5]\d|50\d|51[01])[ :.,\-–—]{1,4}$")
 
-_SLOT = regex.compile(
-    r"""\{\{\s*[\w.\- |:]{1,80}?\s*\}\}|\{%[^%{}]{1,120}%\}|<%[=-]?[^%<>]{1,120}%>|\$\{\s*[\w.\- ]{1,80}\}|%\(\w[\w. \-]{0,80}\)[sdrf]|%\w{2,60}%
-    |@@\w[\w.\- ]{0,80}@@|(?<![\w])__[a-z][\w.\-]{0,80}?__(?!\w)|\[\[\s*[\w.\- ]{1,80}\]\]|<<\s*[\w.\- ]{1,80}>>|(?<![\w$])\$[a-z][\w.\-]{1,80}\$(?!\w)
-    |(?<![\w\#])\#[a-z][\w.\-]{1,80}\#(?!\w)|(?<![\w{$"])\{[a-z][\w.\-]{1,80}\}|\[(?:insert|enter|type|add|your|fill\ in|click|to\ be|tb[acd])\b[^\[\]\n]{0,100}\]
-    |\[[^\[\]\n]{0,100}\b(?:to\ be\ (?:confirmed|inserted|completed|added|determined|advised|decided|filled(?:\ in)?|supplied|provided)|goes?\ here|here|tb[acd])\]
-    |\[\s*[●•■▪◆]+\s*\]|<(?:insert|enter|your|add|type)\b[^<>\n]{0,100}>|<[\w.\- ]{1,80}\ here>|<\s*(?:heading|title|name|date|text|number|amount|address|section|act|court|party)(?:[_. ]\w{1,40})?\s*>
-    |\[(?:name|title|date|number|address|amount|signature|designation|place)\ of\ [^\[\]\n]{1,80}\]|\[(?:name|title|date|number|address|amount|signature|place)\]
-    |\(to\ be\ (?:filled|completed|inserted|confirmed|supplied|added|determined|decided)\b[^()\n]{0,100}\)|\((?:insert|enter|fill\ in)\ [^()\n]{1,100}\)
-    |\b(?:todo|fixme)\s*:|\btodo\b(?=\ replace)|\bnan-nan-nan\b|\bnan/nan/nan\b|(?<![a-z])x{5,}(?![a-z])|\{\d{1,2}\}|(?<![\w%])%[sd](?!\w)|<(?!/)(?!\b(?:p|br|b|i|u|a|s|q|em|hr|li|ol|ul|td|th|tr|div|pre|sub|sup|span|body|html|head|meta|link|code|font|form|label|input|small|strong|table|tbody|thead|script|noscript|style|center|strike|iframe|img|main|nav|footer|header|article|aside|button|cite|dd|dl|dt|h\d)\b\s*>)[a-z]+(?:[_.\- ][a-z]+){0,3}>|\bxx/xx/xxxx\b|\bdd/mm/yyyy\b|click\ here\ to\ enter\ (?:text|a\ date)|\[object\ object\]""",
-    regex.V0 | regex.VERBOSE,
-)
+# Names of elements of web pages, which are no slots.
+ELEMENTS = "p br b i u a s q em hr li ol ul td th tr div pre sub sup span body html head meta link code font form label input small strong table tbody thead script noscript style center strike iframe img main nav footer header article aside button cite dd dl dt h1 h2 h3 h4 h5 h6".split()
+# What a drafter asks for in brackets, what is asked for, and what is yet to happen.
+ASKED = ["insert", "enter", "type", "add", "your", "fill in", "click", "to be", "tba", "tbc", "tbd"]
+WANTED = ["name", "title", "date", "number", "address", "amount", "signature", "designation", "place"]
+PENDING = ["confirmed", "inserted", "completed", "added", "determined", "advised", "decided", "filled", "filled in", "supplied", "provided"]
+
+
+def _either(words: list[str]) -> str:
+    return "|".join(regex.escape(w) for w in words)
+
+
+#: The forms of a slot by the characters that open it; each is tried where its opening stands.
+SLOT_FORMS = {
+    "{{": [r"\{\{\s*[\w.\- |:]{1,80}?\s*\}\}"],
+    "{%": [r"\{%[^%{}]{1,120}%\}"],
+    "<%": [r"<%[=-]?[^%<>]{1,120}%>"],
+    "${": [r"\$\{\s*[\w.\- ]{1,80}\}"],
+    "%(": [r"%\(\w[\w. \-]{0,80}\)[sdrf]"],
+    "%": [r"%\w{2,60}%", r"(?<![\w%])%[sd](?!\w)"],
+    "@@": [r"@@\w[\w.\- ]{0,80}@@"],
+    "__": [r"(?<!\w)__[a-z][\w.\-]{0,80}?__(?!\w)"],
+    "[[": [r"\[\[\s*[\w.\- ]{1,80}\]\]"],
+    "<<": [r"<<\s*[\w.\- ]{1,80}>>"],
+    "$": [r"(?<![\w$])\$[a-z][\w.\-]{1,80}\$(?!\w)"],
+    "#": [r"(?<![\w\#])\#[a-z][\w.\-]{1,80}\#(?!\w)"],
+    "{": [r"(?<![\w{$\"])\{[a-z][\w.\-]{1,80}\}", r"\{\d{1,2}\}"],
+    "[": [
+        rf"\[(?:{_either(ASKED)})\b[^\[\]\n]{{0,100}}\]",
+        rf"\[[^\[\]\n]{{0,100}}\b(?:to be (?:{_either(PENDING)})|goes? here|here|tba|tbc|tbd)\]",
+        r"\[\s*[●•■▪◆]+\s*\]",
+        rf"\[(?:{_either(WANTED)}) of [^\[\]\n]{{1,80}}\]",
+        rf"\[(?:{_either([w for w in WANTED if w != 'designation'])})\]",
+        r"\[object object\]",
+    ],
+    "<": [
+        r"<(?:insert|enter|your|add|type)\b[^<>\n]{0,100}>",
+        r"<[\w.\- ]{1,80} here>",
+        r"<\s*(?:heading|title|name|date|text|number|amount|address|section|act|court|party)(?:[_. ]\w{1,40})?\s*>",
+        rf"<(?!(?:{_either(ELEMENTS)})\s*>)[a-z]+(?:[_.\- ][a-z]+){{0,3}}>",
+    ],
+    "(to be ": [rf"\(to be (?:{_either([w for w in PENDING if w not in ('advised', 'provided')])})\b[^()\n]{{0,100}}\)"],
+    "(insert ": [r"\(insert [^()\n]{1,100}\)"],
+    "(enter ": [r"\(enter [^()\n]{1,100}\)"],
+    "(fill in ": [r"\(fill in [^()\n]{1,100}\)"],
+    "todo": [r"\btodo\s*:", r"\btodo\b(?= replace)"],
+    "fixme": [r"\bfixme\s*:"],
+    "nan-nan-nan": [r"\bnan-nan-nan\b"],
+    "nan/nan/nan": [r"\bnan/nan/nan\b"],
+    "xxxxx": [r"(?<![a-z])x{5,}(?![a-z])"],
+    "xx/xx/xxxx": [r"\bxx/xx/xxxx\b"],
+    "dd/mm/yyyy": [r"\bdd/mm/yyyy\b"],
+    "click here to enter ": [r"click here to enter (?:text|a date)"],
+}
+#: What a program writes for a value it lacks, and the words a value would follow.
+BARE_VALUES = ["undefined", "null", "nan", "n/a", "tbc", "tbd"]
+BARE_AFTER = ["of", "under", "between", "dear", "on", "in the matter of", "by", "to"]
 
-_BARE = regex.compile(r"(?:\b(?:of|under|between|dear|on|in the matter of|by|to)\ (?:undefined|null|nan|n/a|tbc|tbd)(?=[ ,.:;]|$))(?!\ \w+\ (?:of|shall))|(?:^|(?<=[.:;]\ ))(?:undefined|null|nan|tbc|tbd)(?=[:,])", regex.V0)
 
-_PROBES = ["{{", "}}", "{%", "<%", "${", "%(", "@@", "__", "[[", "]]", "<<", ">>", "[insert", "[enter", "[type", "[add", "[your", "[fill in", "[click", "[to be", "[tb", "to be confirmed", "to be inserted", "to be completed", "to be added",
-           "to be determined", "to be advised", "to be decided", "to be filled", "to be supplied", "to be provided", "goes here]", "go here]", " here]", " here>", "[●", "[•", "[■", "[▪", "[◆", "<insert", "<enter", "<your", "<add", "<type", "[name", "[title", "[date",
-           "[number", "[address", "[amount", "[signature", "[designation", "[place", "<heading", "<title", "<name", "<date", "<text", "<number", "<amount", "<address", "<section", "<act", "<court", "<party", "(insert ", "(enter ", "(fill in", "todo", "fixme", "nan-nan", "nan/nan",
-           "<", "xxxxx", "xx/xx", "dd/mm/yyyy", "click here to enter", "[object object", "$", "#", "{", "%"]
-_BARE_PROBES = ["undefined", " null", "null:", "null,", " nan", " n/a", " tbc", " tbd", "tbc:", "tbd:"]
+@lru_cache(maxsize=1)
+def _forms() -> dict[str, regex.Pattern]:
+    forms = {opening: "|".join(forms) for opening, forms in SLOT_FORMS.items()}
+    for value in BARE_VALUES:
+        v = regex.escape(value)
+        forms[value] = rf"(?<=\b(?:{_either(BARE_AFTER)}) ){v}(?=[ ,.:;]|$)(?! \w+ (?:of|shall))|(?:(?<![\s\S])|(?<=[.:;] )){v}(?=[:,])"
+    return {opening: regex.compile(form, regex.V0) for opening, form in forms.items()}
 
 
 def normalised(text: str) -> str:
@@ -112,7 +166,8 @@ def automaton():
 
     found = ahocorasick.Automaton()
     entries: dict[str, tuple[str, str, int]] = {}
-    for kind, block in (("script", SCRIPT), ("error", ERROR), ("filler", FILLER)):
+    made = [f"{x} {y}" for subject in SCRIPT_SUBJECTS for x, y in [*((a, subject) for a in SCRIPT_ASKED), *((subject, t) for t in SCRIPT_STATED)]]
+    for kind, block in (("script", "|".join([SCRIPT, *made])), ("error", ERROR), ("filler", FILLER)):
         for phrase in block.replace("\n", "|").split("|"):
             if phrase.strip():
                 p = normalised(phrase)
@@ -121,10 +176,8 @@ def automaton():
         entries.setdefault(word, ("filler", "latin", len(word)))
     for reason in REASONS:
         entries.setdefault(reason, ("error", "status", len(reason)))
-    for probe in _PROBES:
-        entries.setdefault(probe, ("slot", "slot", len(probe)))
-    for probe in _BARE_PROBES:
-        entries.setdefault(probe, ("slot", "bare", len(probe)))
+    for opening in _forms():
+        entries.setdefault(opening, ("slot", "slot", len(opening)))
     for key, value in entries.items():
         found.add_word(key, value)
     found.make_automaton()
@@ -139,7 +192,7 @@ def findings(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in the normalised text; kinds: slot, filler, error, script."""
     out: list[tuple[str, int, int]] = []
     latin: list[tuple[int, int]] = []
-    slots = bare = False
+    done = 0  # slots do not overlap
     for end, (kind, how, size) in automaton().iter(text):
         start = end + 1 - size
         if how == "phrase":
@@ -151,17 +204,12 @@ def findings(text: str) -> list[tuple[str, int, int]]:
             m = _STATUS.search(text, max(0, start - 40), start)
             if m and not text[end + 1 : end + 2].isalpha():
                 out.append((kind, m.start(), end + 1))
-        elif how == "slot":
-            slots = True
-        else:
-            bare = True
+        elif start >= done and (m := _forms()[text[start : end + 1]].match(text, start)):
+            out.append(("slot", start, m.end()))
+            done = m.end()
     for i in range(len(latin) - LATIN_WORDS + 1):
         if latin[i + LATIN_WORDS - 1][1] - latin[i][0] <= LATIN_SPAN and len({text[s:e] for s, e in latin[i : i + LATIN_WORDS]}) > 1:
             out.append(("filler", latin[i][0], latin[i + LATIN_WORDS - 1][1]))
-    if slots:
-        out.extend(("slot", m.start(), m.end()) for m in _SLOT.finditer(text))
-    if bare:
-        out.extend(("slot", m.start(), m.end()) for m in _BARE.finditer(text))
     return out
 
 
