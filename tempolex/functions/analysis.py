@@ -24,21 +24,61 @@ STATUTE_WORDS = {
 VARIANTS = {"sentence": "punishment", "punishment": "sentence", "penalty": "punishment sentence"}
 
 # Groups of irregular forms.
-IRREGULAR = """pay pays paid paying payment payments payable payee payer; give gives gave given giving; hold holds held holding holder
-find finds found finding findings; bind binds bound binding; forbid forbids forbade forbidden forbidding; strike strikes struck striking
-send sends sent sending; lend lends lent lending; spend spends spent spending; bring brings brought bringing; seek seeks sought seeking
-think thinks thought thinking; catch catches caught catching; swear swears swore sworn swearing
-steal steals stole stolen stealing theft thefts thief thieves; break breaks broke broken breaking; speak speaks spoke spoken speaking
-write writes wrote written writing writings; know knows knew known knowing knowingly knowledge; choose chooses chose chosen choosing
-bear bears bore borne bearing bearer; lose loses lost losing loss losses; meet meets met meeting; sell sells sold selling sale sales seller
-tell tells told telling; sit sits sat sitting; stand stands stood standing; deal deals dealt dealing; keep keeps kept keeping keeper
-leave leaves left leaving; arise arises arose arisen arising; begin begins began begun beginning; run runs ran running
-fall falls fell fallen falling; rise rises rose risen rising; drive drives drove driven driving driver; hide hides hid hidden hiding
-shoot shoots shot shooting; flee flees fled fleeing; power powers empower empowers empowered empowering powered
-prove proves proved proven proving proof proofs; die dies died dying death deaths dead; live lives lived living life
-judge judges judged judging judgment judgments judicial; believe believes believed believing belief beliefs
-relieve relieves relieved relieving relief; marry marries married marrying marriage marriages; child children; person persons people
-wife wives; woman women; man men"""
+IRREGULAR = [
+    "pay pays paid paying payment payments payable payee payer",
+    "give gives gave given giving",
+    "hold holds held holding holder",
+    "find finds found finding findings",
+    "bind binds bound binding",
+    "forbid forbids forbade forbidden forbidding",
+    "strike strikes struck striking",
+    "send sends sent sending",
+    "lend lends lent lending",
+    "spend spends spent spending",
+    "bring brings brought bringing",
+    "seek seeks sought seeking",
+    "think thinks thought thinking",
+    "catch catches caught catching",
+    "swear swears swore sworn swearing",
+    "steal steals stole stolen stealing theft thefts thief thieves",
+    "break breaks broke broken breaking",
+    "speak speaks spoke spoken speaking",
+    "write writes wrote written writing writings",
+    "know knows knew known knowing knowingly knowledge",
+    "choose chooses chose chosen choosing",
+    "bear bears bore borne bearing bearer",
+    "lose loses lost losing loss losses",
+    "meet meets met meeting",
+    "sell sells sold selling sale sales seller",
+    "tell tells told telling",
+    "sit sits sat sitting",
+    "stand stands stood standing",
+    "deal deals dealt dealing",
+    "keep keeps kept keeping keeper",
+    "leave leaves left leaving",
+    "arise arises arose arisen arising",
+    "begin begins began begun beginning",
+    "run runs ran running",
+    "fall falls fell fallen falling",
+    "rise rises rose risen rising",
+    "drive drives drove driven driving driver",
+    "hide hides hid hidden hiding",
+    "shoot shoots shot shooting",
+    "flee flees fled fleeing",
+    "power powers empower empowers empowered empowering powered",
+    "prove proves proved proven proving proof proofs",
+    "die dies died dying death deaths dead",
+    "live lives lived living life",
+    "judge judges judged judging judgment judgments judicial",
+    "believe believes believed believing belief beliefs",
+    "relieve relieves relieved relieving relief",
+    "marry marries married marrying marriage marriages",
+    "child children",
+    "person persons people",
+    "wife wives",
+    "woman women",
+    "man men",
+]
 
 # Words that set one offence apart from another; a hit that misses one in the question is another offence.
 QUALIFIERS = """attempt attempted abetment abet abetting conspiracy conspiring omission preparation threat threatening negligence negligent
@@ -58,6 +98,17 @@ def words(text: Column) -> Column:
     return F.transform(found, folded)
 
 
+def plain_words(text: str) -> list[str]:
+    """The words of one text outside Spark, as `words` gives them."""
+    import regex
+
+    out = []
+    for w in regex.findall(r"[\p{L}\p{N}_\u0600-\u06FF']+", text.lower()):
+        bare = w.replace("'", "") or w
+        out.append(regex.sub(r"([iy])s(e|ed|es|ing|ation|ations)$", r"\1z\2", bare) if len(bare) >= 7 else bare)
+    return out
+
+
 def without_stopwords(tokens: Column, defined: list[str] | None = None) -> Column:
     """Duplicates and order stay. Stop words the corpus defines stay too."""
     dropped = [w for w in STOPWORDS if w not in set(defined or ())]
@@ -80,7 +131,7 @@ def related_words() -> list[tuple[str, str]]:
     """(word, related word) of all tables, both directions of the statute words."""
     pairs = [(w, r) for w, rs in STATUTE_WORDS.items() for r in rs.split()]
     pairs += [(r, w) for w, r in pairs] + [(w, r) for w, rs in VARIANTS.items() for r in rs.split()]
-    for group in IRREGULAR.replace("\n", ";").split(";"):
+    for group in IRREGULAR:
         members = group.split()
         pairs += [(a, b) for a in members for b in members if a != b]
     return sorted(set(pairs))

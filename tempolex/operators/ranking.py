@@ -44,9 +44,10 @@ def analysed(versions: DataFrame, defined: list[str]) -> DataFrame:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(version_id, token, tf, len, in_force_from, in_force_to) of the bags."""
-    rows = docs.select("version_id", F.size("bag").alias("len"), "in_force_from", "in_force_to", F.explode("bag").alias("token"))
-    return rows.groupBy("version_id", "token", "len", "in_force_from", "in_force_to").agg(F.count("*").alias("tf"))
+    """(version_id, statute, token, tf, len, in_force_from, in_force_to) of the bags. Rows of one version are placed together before the words are spread out."""
+    statute = F.col("statute") if "statute" in docs.columns else F.lit(None).cast("string").alias("statute")
+    rows = docs.select("version_id", statute, F.size("bag").alias("len"), "in_force_from", "in_force_to", F.explode("bag").alias("token"))
+    return rows.groupBy("version_id", "statute", "token", "len", "in_force_from", "in_force_to").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(posts: DataFrame) -> DataFrame:
@@ -76,14 +77,15 @@ def snapshot_statistics(docs: DataFrame, dates: DataFrame) -> DataFrame:
 
 
 def question_terms(questions: DataFrame, defined: list[str]) -> DataFrame:
-    """(item_id, as_of, term, asked): the distinct terms of each question and their number."""
+    """(item_id, as_of, scope, term, asked): the distinct terms of each question and their number. scope is the statute a question keeps to, null for all."""
     terms = F.array_distinct(without_stopwords(words(F.col("question")), defined))
-    q = questions.select("item_id", "as_of", terms.alias("terms"))
-    return q.select("item_id", "as_of", F.size("terms").alias("asked"), F.explode("terms").alias("term"))
+    scope = F.col("scope") if "scope" in questions.columns else F.lit(None).cast("string").alias("scope")
+    q = questions.select("item_id", "as_of", scope, terms.alias("terms"))
+    return q.select("item_id", "as_of", "scope", F.size("terms").alias("asked"), F.explode("terms").alias("term"))
 
 
 def question_forms(terms: DataFrame, posts: DataFrame, expand: bool = True) -> DataFrame:
-    """(item_id, as_of, asked, term, token): the indexed tokens that count as each term."""
+    """(item_id, as_of, scope, asked, term, token): the indexed tokens that count as each term."""
     if not expand:
         return terms.withColumn("token", F.col("term"))
     vocabulary = posts.select("token").distinct().select("token", F.explode(stems(F.col("token"))).alias("stem"))
@@ -96,14 +98,23 @@ def idf(n: Column, df: Column) -> Column:
     return F.log1p((n - df + 0.5) / (df + 0.5))
 
 
+def live_frequency(asked: DataFrame, posts: DataFrame) -> DataFrame:
+    """(as_of, token, df): versions in force on each date that hold the token, of the asked (as_of, token). Counted before the shuffle."""
+    held = posts.select("token", "in_force_from", "in_force_to")
+    return asked.select("as_of", "token").distinct().join(held, "token").where(in_force(F.col("as_of"))).groupBy("as_of", "token").agg(F.count("*").alias("df"))
+
+
 def term_hits(forms: DataFrame, posts: DataFrame, statistics: DataFrame) -> DataFrame:
-    """(item_id, as_of, asked, version_id, term, weight): BM25 of each term in each version in force; the best form counts."""
-    live = forms.join(posts, "token").where(in_force(F.col("as_of")))
-    counted = live.withColumn("df", F.count("*").over(Window.partitionBy("item_id", "term", "token")))
-    s = counted.join(statistics, "as_of")
-    mean = F.when(F.col("mean_len") > 0, F.col("mean_len")).otherwise(1.0)
-    weight = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))
-    return s.groupBy("item_id", "as_of", "asked", "version_id", "term").agg(F.max(weight).alias("weight"))
+    """(item_id, as_of, asked, version_id, term, weight): BM25 of each term in each version in force; the best form counts.
+
+    Frequencies are those of the whole snapshot, whatever statute a question keeps to: that filter comes behind them. Rows are placed by question and version, where they also stay for scored.
+    """
+    rated = materialise(forms.join(live_frequency(forms, posts), ["as_of", "token"]).join(statistics, "as_of"), "forms-rated")
+    rated = rated.select("item_id", "as_of", "scope", "asked", "term", "token", idf(F.col("n"), F.col("df")).alias("idf"), F.when(F.col("mean_len") > 0, F.col("mean_len")).otherwise(1.0).alias("mean"))
+    live = rated.join(posts, "token").where(in_force(F.col("as_of")) & (F.col("scope").isNull() | (F.col("scope") == F.col("statute"))))
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+    placed = live.select("item_id", "as_of", "asked", "version_id", "term", weight.alias("weight")).repartition("item_id", "version_id")
+    return placed.groupBy("item_id", "as_of", "asked", "version_id", "term").agg(F.max("weight").alias("weight"))
 
 
 def scored(hits: DataFrame) -> DataFrame:
@@ -111,11 +122,20 @@ def scored(hits: DataFrame) -> DataFrame:
     return hits.groupBy("item_id", "asked", "version_id").agg(F.sum("weight").alias("score"), F.count("*").alias("matched"), F.sort_array(F.collect_list("term")).alias("terms")).withColumn("coverage", F.col("matched") / F.col("asked"))
 
 
+#: The ranking is the score times at least 1 and at most this.
+MOST_BOOST = (1 + HEADING_WEIGHT) * (1 + PROXIMITY_WEIGHT)
+
+
 def leading(hits: DataFrame, k: int) -> DataFrame:
-    """Hits whose coverage reaches that of the question's k-th best: coverage sorts first, so all others are out."""
-    kth = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("coverage"), "version_id"))
-    bar = hits.withColumn("r", kth).where(F.col("r") <= k).groupBy("item_id").agg(F.min("coverage").alias("bar"))
-    return hits.join(bar, "item_id").where("coverage >= bar").drop("bar")
+    """The hits that can be among the k best of their question, by coverage and then ranking.
+
+    The k-th by coverage and score is a bar: a hit of less coverage is out, and one of the same coverage whose score
+    stays below the bar's even with the largest boosts. The k first of each task go into the shuffle, no more.
+    """
+    kth = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("coverage"), F.desc("score"), "version_id"))
+    bar = hits.select("item_id", "coverage", "score", "version_id").withColumn("r", kth).where(F.col("r") <= k).groupBy("item_id").agg(F.min(F.struct("coverage", "score")).alias("bar"))
+    near = (F.col("coverage") > F.col("bar.coverage")) | ((F.col("coverage") == F.col("bar.coverage")) & (F.col("score") * MOST_BOOST + 1e-5 >= F.col("bar.score")))
+    return hits.join(bar, "item_id").where(near).drop("bar")
 
 
 def smallest_window(places: list[list[int]]) -> int | None:
@@ -141,17 +161,18 @@ def tightness(places: list[list[int]], matched: int) -> float:
 
 
 def with_proximity(hits: DataFrame, forms: DataFrame, docs: DataFrame) -> DataFrame:
-    """Adds tightness, heading_coverage and ranking."""
+    """Adds tightness, heading_coverage and ranking. Only the places of matched words leave the JVM."""
     by_term = forms.groupBy("item_id", "term").agg(F.collect_set("token").alias("tokens")).groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "tokens"))).alias("forms"))
     placed = hits.join(by_term, "item_id").join(docs.select("version_id", "text_tokens", F.array_distinct("heading_tokens").alias("heading_set")), "version_id")
     asked_forms = F.flatten(F.map_values("forms"))
     in_heading = F.size(F.filter(F.map_values("forms"), lambda ts: F.arrays_overlap(ts, F.col("heading_set"))))
     heading_hits = F.size(F.filter("heading_set", lambda h: F.array_contains(asked_forms, h)))
     heading_coverage = F.when(F.size("heading_set") > 0, in_heading / F.col("asked") * heading_hits / F.size("heading_set")).otherwise(F.lit(0.0))
+    at = F.filter(F.transform("text_tokens", lambda x, i: F.when(F.array_contains("held", x), F.struct(i.alias("at"), x.alias("token")))), lambda x: x.isNotNull())
 
-    rows = placed.withColumns({"heading_coverage": heading_coverage, "term_forms": F.transform("terms", lambda t: F.element_at("forms", t))}).select(
-        "item_id", "version_id", "score", "coverage", "matched", "terms", "heading_coverage", "term_forms", "text_tokens"
-    )
+    rows = placed.withColumns({"heading_coverage": heading_coverage, "term_forms": F.transform("terms", lambda t: F.element_at("forms", t))})
+    rows = rows.withColumn("held", F.flatten("term_forms")).withColumn("places", at)
+    rows = rows.select("item_id", "version_id", "score", "coverage", "matched", "terms", "heading_coverage", "term_forms", F.col("places.at").alias("at"), F.col("places.token").alias("token"))
     out = rows.mapInArrow(_add_tightness, "item_id bigint, version_id bigint, score double, coverage double, matched bigint, terms array<string>, heading_coverage double, tightness double")
     return out.withColumn("ranking", F.col("score") * (1 + HEADING_WEIGHT * F.col("heading_coverage")) * (1 + PROXIMITY_WEIGHT * F.col("tightness")))
 
@@ -159,37 +180,37 @@ def with_proximity(hits: DataFrame, forms: DataFrame, docs: DataFrame) -> DataFr
 def _add_tightness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         tight = []
-        for forms, tokens, matched in zip(*(b.column(c).to_pylist() for c in ("term_forms", "text_tokens", "matched"))):
+        for forms, at, tokens, matched in zip(*(b.column(c).to_pylist() for c in ("term_forms", "at", "token", "matched"))):
             terms_of: dict[str, list[int]] = {}
             for k, words_of_term in enumerate(forms):
                 for w in words_of_term:
                     terms_of.setdefault(w, []).append(k)
             places: list[list[int]] = [[] for _ in forms]
-            for at, w in enumerate(tokens):
-                for k in terms_of.get(w, ()):
-                    places[k].append(at)
+            for place, w in zip(at, tokens):
+                for k in terms_of[w]:
+                    places[k].append(place)
             tight.append(tightness(places, matched))
-        yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(tight, pa.float64())], names=[*b.schema.names[:-2], "tightness"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(tight, pa.float64())], names=[*b.schema.names[:-3], "tightness"])
 
 
 def build_index(versions: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     """(analysed versions, postings, defined stop words), written once to the shared folder: every question reads them."""
     defined = defined_stopwords(versions)
-    docs = materialise(analysed(versions.select("version_id", "number", "heading", "text", "in_force_from", "in_force_to"), defined), "index")
+    docs = materialise(analysed(versions.select("version_id", *[c for c in ("statute",) if c in versions.columns], "number", "heading", "text", "in_force_from", "in_force_to"), defined).drop("text", "heading"), "index")
     return docs, materialise(postings(docs), "postings"), defined
 
 
 def top_hits(questions: DataFrame, index: tuple[DataFrame, DataFrame, list[str]], k: int = 5, expand: bool = True) -> DataFrame:
     """(item_id, position, version_id, score, coverage, heading_coverage, tightness, ranking): the k best versions per question.
 
-    Sorted by coverage, then ranking, then version_id. Questions without terms or hits give no rows; ties are
-    decided by version_id; null texts and headings hold no words.
+    Sorted by coverage, then ranking to the sixth decimal (sums of fractions depend on their order), then version_id.
+    Questions without terms or hits give no rows; null texts and headings hold no words.
     """
     docs, posts, defined = index
     forms = materialise(question_forms(question_terms(questions, defined), posts, expand), "forms")
     hits = scored(term_hits(forms, posts, snapshot_statistics(docs, questions)))
     ranked = with_proximity(leading(hits, k), forms, docs)
-    w = Window.partitionBy("item_id").orderBy(F.desc("coverage"), F.desc("ranking"), "version_id")
+    w = Window.partitionBy("item_id").orderBy(F.desc("coverage"), F.desc(F.round("ranking", 6)), "version_id")
     return ranked.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
 
 
@@ -201,9 +222,11 @@ def term_weights(forms: DataFrame, posts: DataFrame, statistics: DataFrame) -> D
 
 
 def absent_terms(questions: DataFrame, versions: DataFrame) -> DataFrame:
-    """(item_id, term): question terms of which no form, stem or related word occurs in the record."""
-    defined = defined_stopwords(versions)
-    terms = question_terms(questions, defined)
-    seen = versions.select(F.explode(F.concat(words(F.col("text")), words(F.col("heading")))).alias("w")).distinct().select(F.explode(stems(F.col("w"))).alias("stem")).distinct()
-    held = expansion(terms, terms.sparkSession).join(seen, "stem", "left_semi").select("term").distinct()
-    return terms.join(held, "term", "left_anti").select("item_id", "term")
+    """(item_id, term): question terms of which no form, stem or related word occurs in any version in force on the date."""
+    terms = question_terms(questions, defined_stopwords(versions))
+    asked = materialise(expansion(terms, terms.sparkSession), "asked-stems")  # as many rows as the questions have stems
+    spoken = versions.select("in_force_from", "in_force_to", F.explode(F.array_distinct(F.concat(words(F.col("text")), words(F.col("heading"))))).alias("w"))
+    stemmed = spoken.groupBy("w", "in_force_from", "in_force_to").agg(F.lit(1)).select("in_force_from", "in_force_to", F.explode(stems(F.col("w"))).alias("stem"))
+    held = stemmed.join(asked, "stem").select("term", "in_force_from", "in_force_to").distinct()
+    seen = terms.join(held, "term").where(in_force(F.col("as_of"))).select("item_id", "term").distinct()
+    return terms.join(seen, ["item_id", "term"], "left_anti").select("item_id", "term")

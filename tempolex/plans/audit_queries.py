@@ -31,23 +31,22 @@ def default_act_resolution(spark, d):
     """Citations of charge sheets with the Act the document is about as default."""
     docs = table(spark, d, "documents")
     cited = citation_parse(spark, d).join(docs.select("doc_id", F.col("statute").alias("about")), "doc_id")
-    bare = (F.col("kind") == "statutory") & (F.col("statute") == "") & (F.col("named_statute") == "") & F.col("about").isNotNull()
-    return cited.select("doc_id", "seq", F.when(bare, F.concat_ws(":", "about", "unit", "provision")).otherwise(F.col("key")).alias("key"))
+    return audit.with_default(cited, F.col("about")).select("doc_id", "seq", "key")
 
 
 def _checked_documents(spark, d):
     dated = table(spark, d, "documents").select("doc_id", F.col("published_on").alias("as_of"))
-    cited = citation_parse(spark, d).select("doc_id", "seq", "key", "kind", "statute", "named_statute").join(dated, "doc_id").where("as_of is not null")
+    cited = citation_parse(spark, d).select("doc_id", "seq", "key", "kind", "statute", "named_statute").join(dated, "doc_id")
     return audit.checked(cited, _versions(spark, d))
 
 
 def citation_audit(spark, d):
-    """Every citation of every dated document against the versions in force on its date."""
+    """Every citation of every document against the versions in force on its date."""
     return _checked_documents(spark, d).select("doc_id", "seq", "key", "status", "checked_as")
 
 
 def citation_verdict_rollup(spark, d):
-    return audit.verdicts(_checked_documents(spark, d), "doc_id")
+    return audit.verdicts(_checked_documents(spark, d), "doc_id", table(spark, d, "documents"))
 
 
 def audit_of_keys(spark, d):

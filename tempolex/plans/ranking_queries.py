@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from tempolex.functions.analysis import STOPWORDS, SUFFIXES, expansion, related_words, stems, without_stopwords, words
 from tempolex.functions.keys import iso_date
+from tempolex.operators import decide
 from tempolex.operators import ranking as r
 from tempolex.operators import temporal as t
 from tempolex.plans.temporal_queries import LIVE, PROV
-from tempolex.session import table
+from tempolex.session import materialise, table
 
 COLUMNS = ["heading", "text", "in_force_from", "in_force_to"]
 
@@ -68,29 +69,29 @@ def bm25_top_k(spark, d):
     return top.select("item_id", "position", "version_id", *[F.round(c, 4).alias(c) for c in ("score", "coverage", "heading_coverage", "tightness", "ranking")])
 
 
-def information_coverage(spark, d):
-    """Of each question's best hit: the matched share of the weight of its terms."""
+def _weighed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Weights of the questions' terms, and (item_id, version_id, matched) of their best hits."""
     index = docs, posts, defined = _index(spark, d)
     questions = _questions(spark, d)
     forms = r.question_forms(r.question_terms(questions, defined), posts)
-    statistics = r.snapshot_statistics(docs, questions)
-    weights = r.term_weights(forms, posts, statistics)
-    best = r.top_hits(questions, index, 1).select("item_id", "version_id", "terms")
-    shared = weights.join(best, "item_id").groupBy("item_id", "version_id").agg(
-        (F.sum(F.when(F.array_contains("terms", F.col("term")), F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("c")
-    )
-    return shared.select("item_id", "version_id", F.round("c", 4).alias("information_coverage"))
+    weights = materialise(r.term_weights(forms, posts, r.snapshot_statistics(docs, questions)), "weights")
+    return weights, r.top_hits(questions, index, 1).select("item_id", "version_id", F.col("terms").alias("matched"))
+
+
+def information_coverage(spark, d):
+    """Of each question's best hit: the matched share of the weight of its terms."""
+    weights, best = _weighed(spark, d)
+    best = materialise(best, "best")
+    return decide.information(weights, best).join(best, "item_id").select("item_id", "version_id", F.round("information", 4).alias("information_coverage"))
 
 
 def key_term_missing(spark, d):
-    """Questions whose heaviest term is not matched by their best hit, with that term."""
-    index = docs, posts, defined = _index(spark, d)
-    questions = _questions(spark, d)
-    forms = r.question_forms(r.question_terms(questions, defined), posts)
-    weights = r.term_weights(forms, posts, r.snapshot_statistics(docs, questions))
-    heaviest = weights.groupBy("item_id").agg(F.max(F.struct(F.round("weight", 6).alias("w"), "term")).alias("m"), F.count("*").alias("n")).where("n >= 2")
-    best = r.top_hits(questions, index, 1).select("item_id", "terms")
-    return heaviest.join(best, "item_id").where(~F.array_contains("terms", F.col("m.term"))).select("item_id", F.col("m.term").alias("term"))
+    """Questions whose heaviest term, frame words aside, is not matched by their best hit and not made up for by the rest, with that term."""
+    weights, best = _weighed(spark, d)
+    best = materialise(best, "best")
+    judged = best.join(decide.key_terms(weights), "item_id").join(decide.information(weights, best), "item_id")
+    missing = (F.col("weights") >= 2) & ~F.array_contains("matched", F.col("key_term")) & (F.round("information", 6) < decide.KEY_CEILING)
+    return judged.where(missing).select("item_id", F.col("key_term").alias("term"))
 
 
 def absent_terms(spark, d):
@@ -144,8 +145,30 @@ def _stem_sql(source: str) -> str:
     return f"(SELECT term, term AS stem FROM {source} UNION SELECT term, st FROM ({cut}) UNION SELECT term, st[1 : length(st) - 1] FROM ({cut}) WHERE st[-1] = st[-2])"
 
 
+_FRAME = "[" + ", ".join(f"'{w}'" for w in decide.FRAME) + "]"
 _RELATED = ", ".join(f"('{a}', '{b}')" for a, b in related_words())
 
+_EXPANDED = f"""q AS (SELECT item_id, as_of, len(l) AS asked, unnest(l) AS term FROM (SELECT item_id, as_of, list_distinct(list_filter({_words('text')}, lambda w: NOT list_contains(stop, w))) AS l FROM benchmark, drop)), qt AS (SELECT DISTINCT term FROM q),
+      own AS {_stem_sql('qt')}, rel(term, related) AS (VALUES {_RELATED}), rs AS {_stem_sql('(SELECT DISTINCT term FROM rel)')}, br AS (SELECT DISTINCT own.term AS q, rel.related AS term FROM own JOIN rs ON own.stem = rs.stem JOIN rel ON rel.term = rs.term),
+      bs AS {_stem_sql('(SELECT DISTINCT term FROM br)')}, ex AS (SELECT term, stem FROM own UNION SELECT br.q, bs.stem FROM br JOIN bs USING (term)), vs AS {_stem_sql('(SELECT DISTINCT token AS term FROM post)')},
+      tt AS (SELECT DISTINCT ex.term, vs.term AS token FROM ex JOIN vs ON ex.stem = vs.stem UNION SELECT term, term FROM qt),
+      forms AS (SELECT item_id, as_of, asked, q.term, token FROM q JOIN tt ON tt.term = q.term),
+      live AS (SELECT f.*, version_id, tf, dl, count(*) OVER (PARTITION BY item_id, f.term, f.token) AS df FROM forms f JOIN post ON f.token = post.token AND {LIVE.format('as_of')}),
+      th AS (SELECT item_id, version_id, asked, term, max(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / CASE WHEN mean_len > 0 THEN mean_len ELSE 1 END))) AS w FROM live JOIN stat USING (as_of) GROUP BY ALL),
+      sc AS (SELECT item_id, version_id, asked, sum(w) AS score, count(*) AS matched, count(*) / any_value(asked) AS coverage FROM th GROUP BY item_id, version_id, asked),
+      hw AS (SELECT DISTINCT version_id, unnest(h) AS token FROM bag), hn AS (SELECT version_id, count(*) AS hs FROM hw GROUP BY ALL),
+      hc AS (SELECT item_id, version_id, count(DISTINCT term) / any_value(asked) * count(DISTINCT token) / any_value(hs) AS hc FROM sc JOIN hw USING (version_id) JOIN hn USING (version_id) JOIN (SELECT item_id, term, token FROM forms) USING (item_id, token) GROUP BY ALL),
+      pos AS (SELECT version_id, unnest(t) AS token, generate_subscripts(t, 1) AS p FROM bag),
+      pp AS (SELECT DISTINCT item_id, version_id, th.term, p FROM th JOIN (SELECT item_id, term, token FROM forms) USING (item_id, term) JOIN pos USING (version_id, token)),
+      fo AS (SELECT item_id, version_id, count(DISTINCT term) AS found FROM pp GROUP BY ALL HAVING count(DISTINCT term) >= 2),
+      en AS (SELECT a.item_id, a.version_id, a.p AS e, b.term, max(b.p) AS s FROM (SELECT DISTINCT item_id, version_id, p FROM pp SEMI JOIN fo USING (item_id, version_id)) a JOIN pp b ON a.item_id = b.item_id AND a.version_id = b.version_id AND b.p <= a.p GROUP BY ALL),
+      wi AS (SELECT item_id, version_id, min(width) AS width FROM (SELECT item_id, version_id, e - min(s) AS width, count(*) AS c FROM en GROUP BY item_id, version_id, e) JOIN fo USING (item_id, version_id) WHERE c = found GROUP BY ALL),
+      rk AS (SELECT sc.*, coalesce(hc, 0.0) AS heading_coverage, coalesce((found - 1) / greatest(width, found - 1) * found / matched, 0.0) AS tightness FROM sc LEFT JOIN hc USING (item_id, version_id) LEFT JOIN fo USING (item_id, version_id) LEFT JOIN wi USING (item_id, version_id)),
+      top AS (SELECT *, score * (1 + 1.5 * heading_coverage) * (1 + 0.5 * tightness) AS ranking, row_number() OVER (PARTITION BY item_id ORDER BY coverage DESC, round(score * (1 + 1.5 * heading_coverage) * (1 + 0.5 * tightness), 6) DESC, version_id) AS position FROM rk),
+      fd AS (SELECT item_id, as_of, term, token, any_value(df) AS df FROM live GROUP BY ALL),
+      tw AS (SELECT f.item_id, f.term, max(ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5))) AS weight FROM forms f JOIN stat USING (as_of) LEFT JOIN fd USING (item_id, term, token) GROUP BY ALL HAVING sum(coalesce(df, 0)) > 0),
+      inf AS (SELECT item_id, any_value(version_id) AS version_id, sum(CASE WHEN th.term IS NOT NULL THEN tw.weight ELSE 0 END) / sum(tw.weight) AS information FROM (SELECT item_id, version_id FROM top WHERE position = 1) JOIN tw USING (item_id) LEFT JOIN (SELECT item_id, version_id, term FROM th) th USING (item_id, version_id, term) GROUP BY item_id)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -165,11 +188,18 @@ SQL = {
       sc AS (SELECT item_id, version_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / CASE WHEN mean_len > 0 THEN mean_len ELSE 1 END))) AS score, count(*) AS matched FROM live JOIN stat USING (as_of) GROUP BY ALL),
       rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY matched DESC, round(score, 4) DESC, version_id) AS position FROM sc)
       SELECT item_id, CAST(position AS INTEGER) AS position, version_id, round(score, 4) AS score, matched FROM rk WHERE position <= 5""",
-    "absent_terms": f"""WITH {_BAG}, q AS (SELECT DISTINCT item_id, unnest(list_filter({_words('text')}, lambda w: NOT list_contains(stop, w))) AS term FROM benchmark, drop), qt AS (SELECT DISTINCT term FROM q),
+    "bm25_top_k": f"""WITH {_BAG}, {_STATS}, {_EXPANDED} SELECT item_id, CAST(position AS INTEGER) AS position, version_id, round(score, 4) AS score, round(coverage, 4) AS coverage, round(heading_coverage, 4) AS heading_coverage,
+      round(tightness, 4) AS tightness, round(ranking, 4) AS ranking FROM top WHERE position <= 5""",
+    "information_coverage": f"WITH {_BAG}, {_STATS}, {_EXPANDED} SELECT item_id, version_id, round(information, 4) AS information_coverage FROM inf",
+    "key_term_missing": f"""WITH {_BAG}, {_STATS}, {_EXPANDED}, kt AS (SELECT item_id, max(struct_pack(w := weight, t := term)) FILTER (NOT list_contains({_FRAME}, term)) AS m, count(*) AS n FROM tw GROUP BY item_id)
+      SELECT item_id, m.t AS term FROM kt JOIN inf USING (item_id) WHERE n >= 2 AND round(information, 6) < 0.6 AND m IS NOT NULL
+        AND NOT EXISTS (SELECT 1 FROM th WHERE th.item_id = kt.item_id AND th.version_id = inf.version_id AND th.term = m.t)""",
+    "absent_terms": f"""WITH {_BAG}, q AS (SELECT DISTINCT item_id, as_of, unnest(list_filter({_words('text')}, lambda w: NOT list_contains(stop, w))) AS term FROM benchmark, drop), qt AS (SELECT DISTINCT term FROM q),
       own AS {_stem_sql('qt')}, rel(term, related) AS (VALUES {_RELATED}), rs AS {_stem_sql('(SELECT DISTINCT term FROM rel)')}, br AS (SELECT DISTINCT own.term AS q, rel.related AS term FROM own JOIN rs ON own.stem = rs.stem JOIN rel ON rel.term = rs.term),
       bs AS {_stem_sql('(SELECT DISTINCT term FROM br)')}, ex AS (SELECT term, stem FROM own UNION SELECT br.q, bs.stem FROM br JOIN bs USING (term)),
-      w AS (SELECT DISTINCT unnest({_words('text')} || {_words('heading')}) AS term FROM prov), ws AS {_stem_sql('w')}
-      SELECT item_id, term FROM q WHERE term NOT IN (SELECT ex.term FROM ex JOIN ws ON ex.stem = ws.stem)""",
+      w AS (SELECT DISTINCT in_force_from, in_force_to, unnest({_words('text')} || {_words('heading')}) AS term FROM prov), ws AS {_stem_sql('(SELECT DISTINCT term FROM w)')},
+      h AS (SELECT DISTINCT ex.term, in_force_from, in_force_to FROM ex JOIN ws ON ex.stem = ws.stem JOIN w ON w.term = ws.term)
+      SELECT item_id, term FROM q WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.term = q.term AND {LIVE.format('q.as_of')})""",
     "defined_terms": f"WITH {_BAG} SELECT term FROM def",
     "stem_dictionary": f"WITH {PROV}, v AS (SELECT DISTINCT unnest({_words('text')}) AS term FROM prov) SELECT term, stem FROM {_stem_sql('v')}",
     "query_expansion": f"""WITH qt AS (SELECT DISTINCT term FROM (SELECT unnest({_words('text')}) AS term FROM benchmark) WHERE NOT list_contains({_STOP}, term)),
