@@ -117,14 +117,19 @@ def without_stopwords(tokens: Column, defined: list[str] | None = None) -> Colum
 
 def stems(term: Column) -> Column:
     """The term and every stem it may share with another form; other than ASCII letters has only itself."""
-    each = []
-    for s in SUFFIXES:
-        stem = F.substring(term, F.lit(1), F.length(term) - len(s))
-        fits = term.endswith(s) & (F.length(term) - len(s) >= 3)
-        twin = F.substring(stem, -1, 1) == F.substring(stem, -2, 1)
-        each += [F.when(fits, stem), F.when(fits & twin, F.substring(stem, F.lit(1), F.length(stem) - 1))]
-    inflected = F.filter(F.array(*each), lambda s: s.isNotNull())
-    return F.array_distinct(F.concat(F.array(term), F.when(term.rlike("^[a-z]+$"), inflected).otherwise(F.array().cast("array<string>"))))
+    fitting = F.filter(F.array(*[F.lit(x) for x in SUFFIXES]), lambda x: F.endswith(term, x) & (F.length(term) - F.length(x) >= 3))
+    cut = F.transform(fitting, lambda x: F.substring(term, F.lit(1), F.length(term) - F.length(x)))
+    twins = F.filter(cut, lambda x: F.substring(x, -1, 1) == F.substring(x, -2, 1))
+    single = F.transform(twins, lambda x: F.substring(x, F.lit(1), F.length(x) - 1))
+    return F.when(term.rlike("^[a-z]+$"), F.array_distinct(F.concat(F.array(term), cut, single))).otherwise(F.array(term))
+
+
+def plain_stems(term: str) -> list[str]:
+    """The stems of one term outside Spark."""
+    if not (term.isascii() and term.isalpha() and term.islower()):
+        return [term]
+    cut = [term[: -len(x)] for x in SUFFIXES if term.endswith(x) and len(term) - len(x) >= 3]
+    return list(dict.fromkeys([term, *cut, *(c[:-1] for c in cut if c[-1] == c[-2])]))
 
 
 def related_words() -> list[tuple[str, str]]:
@@ -137,14 +142,14 @@ def related_words() -> list[tuple[str, str]]:
     return sorted(set(pairs))
 
 
-def related_by_stem(spark: SparkSession) -> DataFrame:
-    """(stem, related): the bridge from the stems of a listed word to its related words; a table of fixed size."""
-    table = spark.createDataFrame(related_words(), "word string, related string")
-    return table.select(F.explode(stems(F.col("word"))).alias("stem"), "related").distinct()
+def related_stems(spark: SparkSession) -> DataFrame:
+    """(stem, other): the bridge from the stems of a listed word to those of its related words; a table of fixed size."""
+    pairs = {(x, y) for word, related in related_words() for x in plain_stems(word) for y in plain_stems(related)}
+    return spark.createDataFrame(sorted(pairs), "stem string, other string")
 
 
 def expansion(terms: DataFrame, spark: SparkSession) -> DataFrame:
     """(term, stem): the stems of every term and of the words related to it, one hop and no further."""
     own = terms.select("term").distinct().select("term", F.explode(stems(F.col("term"))).alias("stem"))
-    bridged = own.join(F.broadcast(related_by_stem(spark)), "stem").select("term", F.explode(stems(F.col("related"))).alias("stem"))
+    bridged = own.join(F.broadcast(related_stems(spark)), "stem").select("term", F.col("other").alias("stem"))
     return own.unionByName(bridged).distinct()

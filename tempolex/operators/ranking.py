@@ -77,15 +77,15 @@ def snapshot_statistics(docs: DataFrame, dates: DataFrame) -> DataFrame:
 
 
 def question_terms(questions: DataFrame, defined: list[str]) -> DataFrame:
-    """(item_id, as_of, scope, term, asked): the distinct terms of each question and their number. scope is the statute a question keeps to, null for all."""
+    """(item_id, as_of, scope, asked, t, term): the distinct terms of each question, their number and their places. scope is the statute a question keeps to, null for all."""
     terms = F.array_distinct(without_stopwords(words(F.col("question")), defined))
     scope = F.col("scope") if "scope" in questions.columns else F.lit(None).cast("string").alias("scope")
     q = questions.select("item_id", "as_of", scope, terms.alias("terms"))
-    return q.select("item_id", "as_of", "scope", F.size("terms").alias("asked"), F.explode("terms").alias("term"))
+    return q.select("item_id", "as_of", "scope", F.size("terms").alias("asked"), F.posexplode("terms").alias("t", "term"))
 
 
 def question_forms(terms: DataFrame, posts: DataFrame, expand: bool = True) -> DataFrame:
-    """(item_id, as_of, scope, asked, term, token): the indexed tokens that count as each term."""
+    """(item_id, as_of, scope, asked, t, term, token): the indexed tokens that count as each term."""
     if not expand:
         return terms.withColumn("token", F.col("term"))
     vocabulary = posts.select("token").distinct().select("token", F.explode(stems(F.col("token"))).alias("stem"))
@@ -105,21 +105,42 @@ def live_frequency(asked: DataFrame, posts: DataFrame) -> DataFrame:
 
 
 def term_hits(forms: DataFrame, posts: DataFrame, statistics: DataFrame) -> DataFrame:
-    """(item_id, as_of, asked, version_id, term, weight): BM25 of each term in each version in force; the best form counts.
+    """(item_id, version_id, t, weight): BM25 of each term, by its place, in each version in force; the best form counts.
 
-    Frequencies are those of the whole snapshot, whatever statute a question keeps to: that filter comes behind them. Rows are placed by question and version, where they also stay for scored.
+    Frequencies are those of the whole snapshot, whatever statute a question keeps to: that filter comes behind them.
+    Rows are placed by question and version, where they also stay for scored.
     """
     rated = materialise(forms.join(live_frequency(forms, posts), ["as_of", "token"]).join(statistics, "as_of"), "forms-rated")
-    rated = rated.select("item_id", "as_of", "scope", "asked", "term", "token", idf(F.col("n"), F.col("df")).alias("idf"), F.when(F.col("mean_len") > 0, F.col("mean_len")).otherwise(1.0).alias("mean"))
+    rated = rated.select("item_id", "as_of", "scope", "t", "token", idf(F.col("n"), F.col("df")).alias("idf"), F.when(F.col("mean_len") > 0, F.col("mean_len")).otherwise(1.0).alias("mean"))
     live = rated.join(posts, "token").where(in_force(F.col("as_of")) & (F.col("scope").isNull() | (F.col("scope") == F.col("statute"))))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    placed = live.select("item_id", "as_of", "asked", "version_id", "term", weight.alias("weight")).repartition("item_id", "version_id")
-    return placed.groupBy("item_id", "as_of", "asked", "version_id", "term").agg(F.max("weight").alias("weight"))
+    placed = live.select("item_id", "version_id", "t", weight.alias("weight")).repartition("item_id", "version_id")
+    return placed.groupBy("item_id", "version_id", "t").agg(F.max("weight").alias("weight"))
 
 
-def scored(hits: DataFrame) -> DataFrame:
-    """(item_id, version_id, score, coverage, matched): summed weights and the share of the question's terms."""
-    return hits.groupBy("item_id", "asked", "version_id").agg(F.sum("weight").alias("score"), F.count("*").alias("matched"), F.sort_array(F.collect_list("term")).alias("terms")).withColumn("coverage", F.col("matched") / F.col("asked"))
+#: Places of terms that one number of a mask holds.
+MASK = 63
+
+
+def scored(hits: DataFrame, terms: DataFrame) -> DataFrame:
+    """(item_id, version_id, score, matched, asked, coverage, mask): summed weights and the share of the question's terms.
+
+    mask has a bit for the place of each matched term: numbers only, for these are the rows of every hit.
+    """
+    asked = terms.select("item_id", "asked").distinct()
+    most = terms.agg(F.max("asked")).first()[0] or 1
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("t") % MASK)
+    masks = [F.bit_or(F.when(F.floor(F.col("t") / MASK) == k, bit).otherwise(F.lit(0).cast("bigint"))) for k in range(-(-most // MASK))]
+    sums = hits.groupBy("item_id", "version_id").agg(F.sum("weight").alias("score"), F.count("*").alias("matched"), *[m.alias(f"m{k}") for k, m in enumerate(masks)])
+    named = sums.select("item_id", "version_id", "score", "matched", F.array(*[f"m{k}" for k in range(len(masks))]).alias("mask"))
+    return named.join(asked, "item_id").withColumn("coverage", F.col("matched") / F.col("asked"))
+
+
+def with_terms(hits: DataFrame, terms: DataFrame) -> DataFrame:
+    """Puts the matched terms, in order of the alphabet, in the place of the mask."""
+    all_of = terms.groupBy("item_id").agg(F.collect_list(F.struct("t", "term")).alias("_all"))
+    held = F.filter("_all", lambda x: F.call_function("shiftright", F.element_at("mask", (F.floor(x["t"] / MASK) + 1).cast("int")), x["t"] % MASK).bitwiseAND(1) == 1)
+    return hits.join(all_of, "item_id").withColumn("terms", F.sort_array(F.transform(held, lambda x: x["term"]))).drop("mask", "_all")
 
 
 #: The ranking is the score times at least 1 and at most this.
@@ -207,9 +228,10 @@ def top_hits(questions: DataFrame, index: tuple[DataFrame, DataFrame, list[str]]
     Questions without terms or hits give no rows; null texts and headings hold no words.
     """
     docs, posts, defined = index
-    forms = materialise(question_forms(question_terms(questions, defined), posts, expand), "forms")
-    hits = scored(term_hits(forms, posts, snapshot_statistics(docs, questions)))
-    ranked = with_proximity(leading(hits, k), forms, docs)
+    terms = materialise(question_terms(questions, defined), "terms")
+    forms = materialise(question_forms(terms, posts, expand), "forms")
+    hits = materialise(scored(term_hits(forms, posts, snapshot_statistics(docs, questions)), terms), "scored")
+    ranked = with_proximity(with_terms(leading(hits, k), terms), forms, docs)
     w = Window.partitionBy("item_id").orderBy(F.desc("coverage"), F.desc(F.round("ranking", 6)), "version_id")
     return ranked.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
 

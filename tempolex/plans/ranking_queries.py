@@ -55,8 +55,8 @@ def snapshot_statistics(spark, d):
 def bm25_coverage_sort(spark, d):
     """The five best versions per question by coverage, then score, asked words only."""
     docs, posts, defined = _index(spark, d)
-    forms = r.question_forms(r.question_terms(_questions(spark, d), defined), posts, expand=False)
-    hits = r.scored(r.term_hits(forms, posts, r.snapshot_statistics(docs, _questions(spark, d))))
+    terms = r.question_terms(_questions(spark, d), defined)
+    hits = r.scored(r.term_hits(r.question_forms(terms, posts, expand=False), posts, r.snapshot_statistics(docs, _questions(spark, d))), terms)
     score = F.round("score", 4)
     w = Window.partitionBy("item_id").orderBy(F.desc("matched"), F.desc(score), "version_id")
     top = hits.withColumn("position", F.row_number().over(w)).where("position <= 5")
