@@ -219,7 +219,7 @@ def test_cuts_are_certain():
 # --- leaks
 
 
-@pytest.mark.parametrize("seed,block", [(0, 10_000), (1, 10_000), (2, 40)])
+@pytest.mark.parametrize("seed,block", [(0, 10_000), (1, 10_000), (2, 40), (3, 60)])
 def test_leaks_by_brute_force(spark, seed, block):
     rnd = random.Random(seed)
     items = [(i, " ".join(rnd.choices(WORDS[:3], k=rnd.choice([4, 14, 25])))) for i in range(12)] + [(12, None), (13, "")]
