@@ -233,14 +233,14 @@ def _walk_blocks(batches: Iterator[pa.RecordBatch], min_run: int, schema: pa.Sch
                 yield found
 
 
-def _merged(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Spans of the pieces of an item joined where they overlap."""
+def _merged(batches: Iterator[pa.RecordBatch], min_run: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Spans of the pieces of an item joined where they overlap as far as the pieces do, so that all runs of a span are the item's."""
     for b in batches:
         rows = []
         for d, i, n, spans in zip(*(c.to_pylist() for c in b.columns)):
             whole: list[list[int]] = []
             for s, e in sorted(zip(spans[::2], spans[1::2])):
-                if whole and s <= whole[-1][1]:
+                if whole and s <= whole[-1][1] - min_run + 2:
                     whole[-1][1] = max(whole[-1][1], e)
                 else:
                     whole.append([s, e])
@@ -276,7 +276,7 @@ def _in_blocks(source: DataFrame, held: DataFrame, min_run: int, block_tokens: i
     marked = materialise(found.join(cut, "i", "left"), "leaks")
     parts = marked.where("cut").groupBy("d", "i").agg(F.max("tokens").alias("tokens"), F.flatten(F.collect_list("spans")).alias("spans"))
     names = [f.name for f in schema]
-    return marked.where("cut is null").select(*names).unionByName(parts.mapInArrow(partial(_merged, schema=schema), _OUT).toDF(*names))
+    return marked.where("cut is null").select(*names).unionByName(parts.mapInArrow(partial(_merged, min_run=min_run, schema=schema), _OUT).toDF(*names))
 
 
 def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, min_run: int = 13, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
