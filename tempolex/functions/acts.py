@@ -47,10 +47,41 @@ def ended(start: Column, end: Column, exact: Column) -> list[Column]:
     return [F.when(late, F.date_add(start, 1)).otherwise(end).alias("ends_on"), (exact & ~F.coalesce(late, F.lit(False))).alias("end_exact")]
 
 
+# Names of the months, the reach of a date that is not a line of its own.
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+HEADER = 12_000
+
+
+def assent_date(text: Column) -> Column:
+    """The first date in brackets that is a line of its own, '[16th August, 1997]', else the first within the header of HEADER characters; null without one.
+
+    Only days that exist count; months are written in full.
+    """
+    date = r"\[\s*(\d{1,2}\s*(?:st|nd|rd|th)?\s+[A-Za-z]{3,12}\s*,?\s*\d{4})\s*\]"
+    numbers = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m, str(i))])
+
+    def days(found: Column) -> Column:
+        part = lambda d, k: F.regexp_extract(d, r"^(\d{1,2})\s*(?:st|nd|rd|th)?\s+([A-Za-z]+)\s*,?\s*(\d{4})$", k)
+        made = F.transform(found, lambda d: F.try_to_date(F.concat_ws("-", part(d, 3), F.lpad(F.element_at(numbers, F.lower(part(d, 2))), 2, "0"), F.lpad(part(d, 1), 2, "0")), "yyyy-MM-dd"))
+        return F.filter(made, lambda d: d.isNotNull())
+
+    lines = days(F.regexp_extract_all(text, F.lit(rf"(?m)^[ \t]*{date}[ \t]*$"), F.lit(1)))
+    header = days(F.regexp_extract_all(F.substring(text, 1, HEADER), F.lit(date), F.lit(1)))
+    return F.coalesce(F.get(lines, 0), F.get(header, 0))
+
+
 def without_annotations(title: Column) -> Column:
-    """A title without bracketed notes that speak of repeal, and without brackets left alone."""
+    """A title without bracketed notes that speak of repeal; what an opening bracket without its partner begins goes too, and lone closing ones."""
     bare = F.regexp_replace(title, r"(?i)\s*[\[(][^\[\]()]*(?:repealed|w\.?e\.?f|omitted)[^\[\]()]*[\])]", "")
-    return F.trim(F.regexp_replace(bare, r"^[\])\s]+|[\[(\s]+$", ""))
+    open_left = F.regexp_replace(bare, r"\([^()]*$", "")
+    depth = F.aggregate(
+        F.split(open_left, ""), F.struct(F.lit(0).alias("open"), F.lit("").alias("out")),
+        lambda s, c: F.struct(
+            (s["open"] + F.when(c == "(", 1).when((c == ")") & (s["open"] > 0), -1).otherwise(0)).alias("open"),
+            F.concat(s["out"], F.when((c == ")") & (s["open"] == 0), "").otherwise(c)).alias("out"),
+        ),
+    )["out"]
+    return F.regexp_replace(depth, r"^[\])\s,.;]+|[\[(\s,.;]+$", "")
 
 
 def initials(title: Column) -> Column:
@@ -63,11 +94,11 @@ def initials(title: Column) -> Column:
 def unique_keys(acts: DataFrame, title: str) -> DataFrame:
     """Adds act_key: the initials, with the year where several Acts share them, with a counter where those share the year too.
 
-    Counters follow the order of titles.
+    Counters follow the order of titles, of equal titles that of their other columns.
     """
     base = F.when(F.length(initials(F.col(title))) >= SHORTEST_KEY, initials(F.col(title))).otherwise(F.rpad(initials(F.col(title)), SHORTEST_KEY, "X"))
     one = acts.withColumns({"_base": base, "_year": F.coalesce(title_year(F.col(title)).cast("string"), F.lit(""))})
-    alone, same = Window.partitionBy("_base"), Window.partitionBy("_base", "_year").orderBy(title)
+    alone, same = Window.partitionBy("_base"), Window.partitionBy("_base", "_year").orderBy(title, *sorted(c for c in acts.columns if c != title))
     counted = one.withColumns({"_of": F.count("*").over(alone), "_n": F.row_number().over(same)})
     key = F.when(F.col("_of") == 1, F.col("_base")).otherwise(F.concat("_base", "_year", F.when(F.col("_n") > 1, F.concat(F.lit("_"), F.col("_n"))).otherwise("")))
     return counted.withColumn("act_key", key).drop("_base", "_year", "_of", "_n")

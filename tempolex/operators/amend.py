@@ -10,6 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempolex.functions.citations import extractor
+
+
+def provision_named(text: str, keys: list[str]) -> str:
+    """The key of the one whole provision a text names, or an error: no statutory citation, no Act, or a subdivision."""
+    found = [c for c in extractor(tuple(sorted(keys))).locate(text) if c.kind == "statutory"]
+    if not found:
+        raise ValueError(f"no statutory citation in {text!r}")
+    if not found[0].statute:
+        raise ValueError(f"{text!r} names no Act")
+    if "(" in found[0].provision:
+        raise ValueError(f"{text!r} is a subdivision: amend the whole provision")
+    return found[0].key()
+
 
 def judged(versions: DataFrame, amendments: DataFrame) -> DataFrame:
     """Adds refusal ('' if accepted) and opens_from, the start of the version the amendment closes.
@@ -18,7 +32,7 @@ def judged(versions: DataFrame, amendments: DataFrame) -> DataFrame:
     the state as it was, so the state is folded over the key's amendments, which are few, in one array.
     """
     live = versions.where("in_force_to is null").groupBy("key").agg(F.max("in_force_from").alias("live_from"))
-    item = F.struct("on", "amendment_id", "action", "by", "heading", "text", "manner")
+    item = F.struct("on", "amendment_id", "action")  # texts stay out of the chains
     chains = amendments.groupBy("key").agg(F.array_sort(F.collect_list(item)).alias("chain")).join(live, "key", "left")
     start = F.struct(F.col("live_from").alias("live"), F.array().cast("array<struct<id:bigint,refusal:string,closes:date,heir:boolean>>").alias("out"))
 

@@ -13,6 +13,7 @@ from tempolex.functions.citations import citations
 from tempolex.functions.naming import named_acts
 from tempolex.operators import ranking as r
 from tempolex.operators.audit import checked
+from tempolex.operators.temporal import status_note
 from tempolex.session import materialise
 from tempolex.sources.splitting import buried_numbers, buried_offset
 
@@ -126,6 +127,19 @@ def decisions(questions: DataFrame, versions: DataFrame, index: tuple, keys: lis
     return all_of.withColumn("status", status).select("item_id", "status", served.cast("bigint").alias("version_id"))
 
 
+def answers(decided: DataFrame, questions: DataFrame, versions: DataFrame) -> DataFrame:
+    """(item_id, status, citation, heading, text, status_note) of every question: what was served, and what the record says of it on the date.
+
+    citation is written out (Section 302 PPC, Order IX Rule 3 CPC); refused questions have nulls. versions carries
+    statute, unit and number beside what status_note reads.
+    """
+    label = F.when((F.col("unit") == "rule") & F.col("number").contains("/"), F.concat(F.lit("Order "), F.split_part("number", F.lit("/"), F.lit(1)), F.lit(" Rule "), F.split_part("number", F.lit("/"), F.lit(2))))
+    label = F.concat_ws(" ", F.coalesce(label, F.concat_ws(" ", F.initcap("unit"), "number")), "statute")
+    served = decided.join(questions.select("item_id", "as_of"), "item_id").join(versions, "version_id", "left")
+    held = F.col("statute").isNotNull()
+    return served.select("item_id", "status", F.when(held, label).alias("citation"), "heading", "text", F.when(held, status_note(F.col("as_of"))).alias("status_note"))
+
+
 def scoreboard(decided: DataFrame, expected: DataFrame, versions: DataFrame) -> DataFrame:
     """(suite, n, right, wrong, refused): expected(item_id, suite, expected_citation) against what was served; null expects a refusal."""
     named = decided.join(versions.select("version_id", "key"), "version_id", "left").join(expected, "item_id")

@@ -236,6 +236,15 @@ def top_hits(questions: DataFrame, index: tuple[DataFrame, DataFrame, list[str]]
     return ranked.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
 
 
+def why(hits: DataFrame, weights: DataFrame) -> DataFrame:
+    """(item_id, version_id, why) of hits with terms: 'n of m terms' and the five heaviest matched ones, or that one alone where the question has one."""
+    each = hits.select("item_id", "version_id", "asked", F.explode("terms").alias("term")).join(weights, ["item_id", "term"])
+    heavy = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "term"))), 1, 5)
+    named = F.array_join(F.transform("h", lambda x: F.format_string("%s (%.2f)", x["term"], -x["w"])), ", ")
+    listed = each.groupBy("item_id", "version_id", "asked").agg(heavy.alias("h"), F.count("*").alias("n"))
+    return listed.select("item_id", "version_id", F.when(F.col("asked") > 1, F.concat(F.format_string("%d of %d terms: ", "n", "asked"), named)).otherwise(named).alias("why"))
+
+
 def term_weights(forms: DataFrame, posts: DataFrame, statistics: DataFrame) -> DataFrame:
     """(item_id, term, weight): the largest idf over a term's forms, of terms with a form in force; unseen spellings have df 0."""
     live = forms.join(posts, "token", "left")

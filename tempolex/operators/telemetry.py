@@ -39,6 +39,23 @@ def by_tool(df: DataFrame) -> DataFrame:
     return tally.withColumns({"refusal_rate": F.round(F.col("refused") / F.col("calls"), 3), "thin": F.col("calls") < THIN})
 
 
+def overall(df: DataFrame) -> DataFrame:
+    """One row: (calls, first_at, last_at, refused, refusal_rate, p50, p95, longest, sample) of all events; sample is true or false where all agree, else null."""
+    tally = df.agg(
+        F.count("*").alias("calls"), F.min("at_s").alias("first_at"), F.max("at_s").alias("last_at"), F.count_if(F.coalesce("refused", F.lit(False))).alias("refused"), F.max("ms").alias("longest"),
+        F.when(F.every(F.coalesce("is_sample", F.lit(False))), True).when(~F.some(F.coalesce("is_sample", F.lit(False))), False).alias("sample"),
+    )
+    ranks = percentiles(df.withColumn("_all", F.lit(1)), ["_all"], "ms", {"p50": 0.5, "p95": 0.95})
+    rate = F.when(F.col("calls") > 0, F.round(F.col("refused") / F.col("calls"), 3))
+    return tally.withColumns({"refusal_rate": rate, "_all": F.lit(1)}).join(ranks, "_all", "left").drop("_all")
+
+
+def result_statuses(results: DataFrame, call_id: str, status: str) -> DataFrame:
+    """(call_id, statuses): of each call, how often each status stands in its result."""
+    counted = results.where(F.col(status).isNotNull()).groupBy(call_id, status).agg(F.count("*").alias("n"))
+    return counted.groupBy(call_id).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(status), "n")))).alias("statuses"))
+
+
 def status_counts(df: DataFrame) -> DataFrame:
     """(status, n): citation statuses summed over the maps of all events."""
     return df.select(F.explode("statuses").alias("status", "n")).groupBy("status").agg(F.sum("n").alias("n"))

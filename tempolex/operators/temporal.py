@@ -180,12 +180,44 @@ def roman(numeral: Column) -> Column:
 
 
 def contents(df: DataFrame, day: str) -> DataFrame:
-    """(statute, key, version_id, heading, amended, position): what is in force on a day, in the order of each statute."""
+    """(statute, key, version_id, heading, amended, position): what is in force on a day, in the order of each statute.
+
+    Positions come from the counts of the provisions before: a statute is ordered by its numbers, of which there are far
+    fewer than rows, and the rows of one number are ordered among themselves. No task orders a whole statute.
+    """
     held = df.groupBy("key").agg(F.count("*").alias("held"))
     live = as_of(df, day).select("statute", "unit", "number", "key", "version_id", "heading").join(held, "key")
-    columns = [c for c in provision_order(F.col("number"))]
-    w = Window.partitionBy("statute").orderBy("unit", "order_scheme", "order_n", "order_suffix", "order_rule", "number", "version_id")
-    return live.select("*", *columns).select("statute", "key", "version_id", "heading", (F.col("held") > 1).alias("amended"), F.row_number().over(w).alias("position"))
+    rows = live.select("*", *provision_order(F.col("number")))
+    part = ["statute", "unit", "order_scheme", "order_n"]
+    ahead = Window.partitionBy("statute").orderBy("unit", "order_scheme", "order_n").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*part).agg(F.count("*").alias("_n")).select(*[F.col(c).alias(f"_{c}") for c in part], F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    same = F.lit(True)
+    for c in part:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    within = F.row_number().over(Window.partitionBy(*part).orderBy("order_suffix", "order_rule", "number", "version_id"))
+    placed = rows.withColumn("_within", within).join(before, same)
+    return placed.select("statute", "key", "version_id", "heading", (F.col("held") > 1).alias("amended"), (F.col("_before") + F.col("_within")).cast("int").alias("position"))
+
+
+def sequence_within(number: Column) -> Column:
+    """(n, suffix): the place a number has in the numbering a later heading would continue: 302A in its own, IX/3 as rule 3; null for others."""
+    scheme, n, suffix, rule = [c for c in provision_order(number)]
+    return F.when(scheme == 0, F.struct(n.alias("n"), suffix.alias("suffix"))).when(scheme == 1, F.struct(rule.alias("n"), F.lit("").alias("suffix")))
+
+
+def checked_versions(df: DataFrame) -> DataFrame:
+    """The gate before every write: the versions themselves, or an error with the first problems if there are any."""
+    found = problems(df).limit(20).collect()
+    if found:
+        raise ValueError("; ".join(f"{r.key} ({r.version_id}): {r.problem}" for r in found))
+    return df
+
+
+def coverage_warnings(asked: DataFrame, df: DataFrame, as_at: str | None = None, day: str = "as_of") -> DataFrame:
+    """asked (statute, day, ...) with each warning: 'before the record' with its first date, 'after the record' if the day is past as_at."""
+    early = asked.join(record_starts(df), "statute").where(F.col(day) < F.col("recorded_from")).withColumn("warning", F.lit("before the record")).withColumnRenamed("recorded_from", "limit_on")
+    late = asked.withColumns({"limit_on": F.lit(as_at).cast("date"), "warning": F.lit("after the record")}).where(F.col(day) > F.col("limit_on"))
+    return early.unionByName(late)
 
 
 def contents_counts(df: DataFrame, day: str) -> DataFrame:
@@ -219,10 +251,10 @@ def page(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
 
     The page comes from a bounded top-k; only the count covers all rows.
     """
-    total = df.agg(F.count("*").alias("total"))
-    cut = df.orderBy(*order).offset(offset).limit(limit)
+    total = df.agg(F.count("*").alias("total")).withColumn("_one", F.lit(1))
+    cut = df.orderBy(*order).offset(offset).limit(limit).withColumn("_one", F.lit(1))
     after = F.when(F.col("total") > offset + limit, F.lit(offset + limit).cast("bigint"))
-    return cut.join(total).withColumn("next_offset", after)
+    return cut.join(total, "_one").drop("_one").withColumn("next_offset", after)
 
 
 def normalise_number(number: Column) -> Column:

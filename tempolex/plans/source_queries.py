@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from tempolex.functions.diffing import diff_rows
 from tempolex.functions.keys import iso_date
 from tempolex.operators import temporal as t
 from tempolex.plans.problems import p5_history
-from tempolex.plans.temporal_queries import PROV
+from tempolex.plans.temporal_queries import _CONTENTS, DAY, PROV
 from tempolex.session import shared_dir, table
 from tempolex.sources import cleaning, corpus_io, splitting
 from tempolex.streaming import calls
@@ -32,18 +34,25 @@ def act_keys(spark, d):
 
 
 def _act_pages(spark, d, size: int) -> DataFrame:
-    """(page_id, first, text): the provisions in force on a day printed as Acts, `size` provisions to a page."""
+    """(page_id, first, text): the provisions in force on a day printed as Acts, those of one unit among `size` to a page. page_id is the version of the first."""
     v = t.versions(table(spark, d, "sample_corpus"), ["heading", "text", "in_force_from", "in_force_to"])
-    listing = t.contents(v, "2010-06-15").join(v.select("version_id", "number", "text"), "version_id")
-    line = F.concat("number", F.lit(". "), F.regexp_replace(F.coalesce("heading", F.lit("")), r"[.\n]", " "), F.lit(".— "), F.coalesce("text", F.lit("")))
+    listing = t.contents(v, DAY)
+    printed = listing.groupBy("key").agg(F.min("version_id").alias("version_id"))  # one version of a provision is printed
+    listing = listing.join(printed, ["key", "version_id"], "left_semi").join(v.select("version_id", "unit", "number", "text"), "version_id")
+    line = F.concat("number", F.lit(". "), F.regexp_replace(F.coalesce("heading", F.lit("")), r"[.\n:—–]", " "), F.lit(".— "), F.coalesce("text", F.lit("")))
     page = F.floor((F.col("position") - 1) / size)
-    made = listing.groupBy("statute", page.alias("page")).agg(F.sort_array(F.collect_list(F.struct("position", "number", line.alias("line")))).alias("l"))
-    return made.select(F.xxhash64("statute", "page").alias("page_id"), F.col("l")[0]["number"].alias("first"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
+    made = listing.groupBy("statute", "unit", page.alias("page")).agg(F.sort_array(F.collect_list(F.struct("position", "version_id", "number", line.alias("line")))).alias("l"))
+    return made.select(F.col("l")[0]["version_id"].alias("page_id"), F.col("l")[0]["number"].alias("first"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
 
 
 def act_split(spark, d):
-    """Pages of Acts split into their provisions again."""
-    return splitting.split_acts(_act_pages(spark, d, 50), "page_id", "text")
+    """Pages of Acts split into their provisions again; what was printed must come back."""
+    return splitting.split_acts(_act_pages(spark, d, 50), "page_id", "text").select("page_id", "number", "heading", "text")
+
+
+def act_split_report(spark, d):
+    """How the pages were read: candidate lines, provisions, what was omitted or is long, and the characters accounted for."""
+    return splitting.split_reports(_act_pages(spark, d, 50), "page_id", "text").select("page_id", "provisions", "omitted", "too_long", "characters", "characters_kept")
 
 
 def source_clean(spark, d):
@@ -78,19 +87,19 @@ def row_problems(spark, d):
 
 
 def jsonl_round_trip(spark, d):
-    """All versions written as gzip JSON Lines, read back and checked; those of unknown end without an in_force_to, which break a rule, are left out of check and counts, as in the SQL."""
+    """All versions written as gzip JSON Lines, read back and checked: counts of each statute, and how many of its rows break a rule."""
     rows = t.versions(table(spark, d, "sample_corpus"))
-    path = f"{shared_dir(spark)}/round-trip"
+    path = f"{shared_dir(spark)}/round-trip-{uuid.uuid4().hex}"
     texts = rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("statute", "unit", "number", "heading", "text")], "in_force_from", "in_force_to", "manner", "amended_by", "enacted_by", "start_known", "end_known")
     corpus_io.write_jsonl(texts, path)
-    back = corpus_io.checked_rows(corpus_io.read_rows(spark, path).where("end_known is null or end_known or in_force_to is not null"))
-    return back.groupBy("statute").agg(F.count("*").alias("versions"), F.sum(F.length("text")).alias("characters"))
+    back = corpus_io.read_rows(spark, path)
+    broken = corpus_io.row_problems(back).groupBy("statute").agg(F.count("*").alias("problems"))
+    counts = back.groupBy("statute").agg(F.count("*").alias("versions"), F.sum(F.length("text")).alias("characters"))
+    return counts.join(broken, "statute", "left").na.fill(0, ["problems"])
 
 
 def _stream(spark: SparkSession, d: str, make) -> DataFrame:
-    """A stream over the telemetry table, run to its end into the shared folder."""
-    import uuid
-
+    """A stream over the telemetry table, run to its end. The table is not in the order of time, so lateness up to its whole span is allowed for."""
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = calls.timed(calls.read_calls(spark, _as_folder(spark, d, at), "parquet"), "36500 days")
     query = make(source).writeStream.outputMode("complete").queryName("q" + uuid.uuid4().hex).format("memory").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
@@ -112,12 +121,21 @@ def stream_tool_windows(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (repeal_title_dates, act_identity, act_keys, act_split, source_clean, buried_numbers, swallowed_stars, word_diff, row_problems, jsonl_round_trip, stream_tool_windows)
+    for f in (repeal_title_dates, act_identity, act_keys, act_split, act_split_report, source_clean, buried_numbers, swallowed_stars, word_diff, row_problems, jsonl_round_trip, stream_tool_windows)
 }
 
 _EFF = r"(?i)w\.?\s?e\.?\s?f\.?\s*(\d{1,2})[-./](\d{1,2})[-./](\d{2,4})"
 _FOUR = "(CASE WHEN {0} >= 100 THEN {0} WHEN {0} <= 40 THEN {0} + 2000 ELSE {0} + 1900 END)"
+_SPACES = r"'[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+'"
+_PAGES = f"""{PROV}, {_CONTENTS}, pr AS (SELECT c.*, p.unit, p.number, coalesce(p.text, '') AS text, (c.position - 1) // 50 AS page FROM contents c JOIN prov p USING (version_id) QUALIFY row_number() OVER (PARTITION BY c.key ORDER BY version_id) = 1),
+pg AS (SELECT *, first_value(version_id) OVER (PARTITION BY statute, unit, page ORDER BY position) AS page_id FROM pr)"""
 SQL = {
+    "act_split": rf"""WITH {_PAGES} SELECT page_id, number, trim(regexp_replace(regexp_replace(coalesce(heading, ''), '[.\n:—–]', ' ', 'g'), {_SPACES}, ' ', 'g')) AS heading, trim(regexp_replace(text, {_SPACES}, ' ', 'g')) AS text FROM pg""",
+    "act_keys": r"""WITH i AS (SELECT statute, title, upper(array_to_string(list_transform(list_filter(regexp_extract_all(regexp_replace(title, ',?\s*\d{4}$', ''), '[A-Za-z][0-9A-Za-z_''-]*'), lambda w: lower(w) NOT IN ('of', 'the', 'and', 'for', 'to', 'in', 'on', 'a', 'an')), lambda w: w[1]), '')) AS i,
+        coalesce(list_last(regexp_extract_all(title, '(?:^|[^0-9])([0-9]{4})', 1)), '') AS y FROM acts),
+      b AS (SELECT statute, title, y, CASE WHEN length(i) >= 3 THEN i ELSE rpad(i, 3, 'X') END AS b FROM i),
+      n AS (SELECT *, count(*) OVER (PARTITION BY b) AS c, row_number() OVER (PARTITION BY b, y ORDER BY title, statute) AS k FROM b)
+      SELECT statute, CASE WHEN c = 1 THEN b ELSE b || y || CASE WHEN k > 1 THEN '_' || k ELSE '' END END AS act_key FROM n""",
     "repeal_title_dates": f"""WITH n AS (SELECT statute, repeal_note AS r, try_cast(regexp_extract(repeal_note, '{_EFF}', 3) AS INTEGER) AS y, regexp_extract(repeal_note, '{_EFF}', 2) AS m, regexp_extract(repeal_note, '{_EFF}', 1) AS dd,
         list_transform(list_concat(regexp_extract_all(repeal_note, '(?:^|[^0-9])([0-9]{{4}})', 1), regexp_extract_all(repeal_note, '(?i)\\bof\\s+(\\d{{2}})(?:$|[^0-9])', 1)), lambda v: CAST(v AS INTEGER)) AS ys FROM acts WHERE repeal_note IS NOT NULL),
       e AS (SELECT statute, try_cast({_FOUR.format('y')} || '-' || lpad(m, 2, '0') || '-' || lpad(dd, 2, '0') AS DATE) AS day, list_max(list_filter(list_transform(ys, lambda v: {_FOUR.format('v')}), lambda v: v BETWEEN 1800 AND {LAST_YEAR})) AS yr FROM n)
@@ -130,7 +148,8 @@ SQL = {
       CASE WHEN text IS NULL THEN 'no text' END, CASE WHEN in_force_from IS NULL THEN 'no in_force_from' END, CASE WHEN lower(trim(unit)) NOT IN ('section', 'article', 'rule') THEN 'unknown unit' END,
       CASE WHEN in_force_to <= in_force_from THEN 'end not after start' END, CASE WHEN NOT coalesce(end_known, true) AND in_force_to IS NULL THEN 'unknown end without an end' END], lambda x: x IS NOT NULL)) AS problem FROM sample_corpus)
       SELECT problem, count(*) AS n FROM p GROUP BY problem""",
-    "jsonl_round_trip": f"""WITH {PROV} SELECT coalesce(statute, '') AS statute, count(*) AS versions, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS characters FROM prov WHERE end_known IS NULL OR end_known OR in_force_to IS NOT NULL GROUP BY 1""",
+    "jsonl_round_trip": f"""WITH {PROV} SELECT coalesce(statute, '') AS statute, count(*) AS versions, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS characters,
+      CAST(count(*) FILTER (coalesce(unit, '') NOT IN ('section', 'article', 'rule')) + count(*) FILTER (NOT coalesce(end_known, true) AND in_force_to IS NULL) AS BIGINT) AS problems FROM prov GROUP BY 1""",
     "stream_tool_windows": """WITH ev AS (SELECT DISTINCT event_id, at_s, tool, ms, refused FROM telemetry) SELECT strftime(make_timestamp(CAST(floor(at_s) AS BIGINT) * 1000000), '%Y-%m-%d') AS day, tool, count(*) AS calls,
       count(*) FILTER (refused) AS refused, round(sum(coalesce(ms, 0.0)), 2) AS ms FROM ev GROUP BY ALL""",
 }

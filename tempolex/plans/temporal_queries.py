@@ -10,7 +10,7 @@ from tempolex.functions.keys import iso_date
 from tempolex.plans.problems import sql_key
 from tempolex.session import table
 
-DAY, EARLIER = "2010-06-15", "1995-03-01"
+DAY, EARLIER, AS_AT = "2010-06-15", "1995-03-01", "2015-12-31"
 NARROW = [c for c in t.CARRIED if c not in ("text",)]
 
 
@@ -68,7 +68,7 @@ def record_start_floor(spark, d):
 
 def coverage_warnings(spark, d):
     asked = _asked(spark, d).withColumn("statute", F.split_part("key", F.lit(":"), F.lit(1)))
-    return asked.join(t.record_starts(_versions(spark, d)), "statute").where("as_of < recorded_from").select("item_id", "statute", iso_date(F.col("recorded_from")).alias("recorded_from"))
+    return t.coverage_warnings(asked, _versions(spark, d), AS_AT).select("item_id", "statute", "warning", iso_date(F.col("limit_on")).alias("limit_on"))
 
 
 def changes_feed(spark, d):
@@ -170,7 +170,8 @@ SQL = {
       UNION ALL SELECT statute, min(version_id), 'several record starts' FROM prov WHERE start_known = false GROUP BY statute HAVING count(DISTINCT in_force_from) > 1""",
     "record_start_floor": f"WITH {PROV} SELECT statute, strftime(max(in_force_from), '%Y-%m-%d') AS recorded_from FROM prov WHERE start_known = false GROUP BY statute",
     "coverage_warnings": f"""WITH {PROV}, {ASKED}, r AS (SELECT statute, max(in_force_from) AS recorded_from FROM prov WHERE start_known = false GROUP BY statute)
-      SELECT item_id, statute, strftime(recorded_from, '%Y-%m-%d') AS recorded_from FROM asked JOIN r ON statute = split_part(key, ':', 1) WHERE as_of < recorded_from""",
+      SELECT item_id, statute, 'before the record' AS warning, strftime(recorded_from, '%Y-%m-%d') AS limit_on FROM asked JOIN r ON statute = split_part(key, ':', 1) WHERE as_of < recorded_from
+      UNION ALL SELECT item_id, split_part(key, ':', 1), 'after the record', '{AS_AT}' FROM asked WHERE as_of > DATE '{AS_AT}'""",
     "changes_feed": f"""WITH {PROV}, l AS (SELECT *, row_number() OVER w AS n, lag(in_force_to) OVER w AS b, lag(amended_by) OVER w AS bb, lead(in_force_from) OVER w AS a FROM prov {_W}),
       e AS (SELECT in_force_from AS changed_on, key, version_id, CASE WHEN n = 1 THEN 'commenced' WHEN b = in_force_from THEN 'substituted' ELSE 'reinstated' END AS event,
               CASE WHEN enacted_by <> '' THEN enacted_by WHEN b = in_force_from THEN coalesce(bb, '') ELSE '' END AS instrument, heading FROM l

@@ -39,6 +39,11 @@ def strip_stars(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?:\*\s*){2,}", ""))
 
 
+def normalise_source(text: Column) -> Column:
+    """Lookalike and invisible characters as the text means them: the Greek question mark, the minus sign and the no-break space replaced, soft hyphens, zero-width spaces, word joiners and byte order marks away."""
+    return F.translate(text, "\u037e\u2212\u00a0\u00ad\u200b\u2060\ufeff", ";- ")
+
+
 def decoded(raw: Column) -> Column:
     """Bytes as UTF-8, or as Windows-1252 where they are not."""
     return F.when(F.is_valid_utf8(raw.cast("string")), F.decode(raw, "UTF-8")).otherwise(F.decode(raw, "windows-1252"))
@@ -121,6 +126,92 @@ def html_text(page: str | None) -> tuple[str, dict[int, str]]:
     return regex.sub(r"\n{3,}", "\n\n", body).strip(), notes
 
 
+class Change(NamedTuple):
+    """A note of a history page: what an instrument did, and the words that stood there before, which may hold changes themselves."""
+
+    kind: str
+    instrument: str
+    year: int | None
+    old: list
+
+
+# What a note says was done, and the instruments that do it.
+_DONE = regex.compile(r"\b(substituted|subs\.|inserted|ins\.|added|omitted|deleted|repealed|rep\.)", regex.I)
+_KINDS = {"subs": "substituted", "subs.": "substituted", "ins.": "inserted", "deleted": "omitted", "rep.": "repealed"}
+_INSTRUMENT = regex.compile(r"((?:act|ordinance|order|p\.o\.|a\.o\.|regulation)[\w .\-]*?)\s*(?:of|,)\s*(\d{4})", regex.I)
+#: n[ opens what note n changed, ]n closes it.
+_SPAN = regex.compile(r"(?P<open>\d{1,3})\[|\](?P<close>\d{1,3})")
+
+
+def change_tree(text: str) -> list:
+    """Strings and (note, children) of a text with n[ ... ]n spans, which may nest. A close without its open is dropped, an open without its close reaches to the end."""
+    root: list = []
+    stack: list[tuple[int, list]] = [(0, root)]
+    at = 0
+    for m in _SPAN.finditer(text):
+        if m.start() > at:
+            stack[-1][1].append(text[at : m.start()])
+        at = m.end()
+        if m["open"]:
+            children: list = []
+            stack[-1][1].append((int(m["open"]), children))
+            stack.append((int(m["open"]), children))
+        elif any(n == int(m["close"]) for n, _ in stack[1:]):
+            while stack.pop()[0] != int(m["close"]):
+                pass
+    stack[-1][1].append(text[at:])
+    return root
+
+
+def read_change(note: str) -> Change:
+    """A note such as 'Substituted by Ordinance II of 1980 for: "old words"'."""
+    done = _DONE.search(note)
+    kind = _KINDS.get(done[1].lower(), done[1].lower()) if done else "other"
+    head, _, words = note.partition(":")
+    made = _INSTRUMENT.search(head)
+    old = words.strip().strip('"“”').strip() if kind in ("substituted", "omitted") else ""
+    return Change(kind, " ".join(made[1].split()) + f" of {made[2]}" if made else "", int(made[2]) if made else None, change_tree(old))
+
+
+def tree_on(tree: list, changes: dict[int, Change], year: int) -> str:
+    """The text as it stood in a year: a change not yet made gives way to the words before it; a change without a year counts as made."""
+    out = []
+    for node in tree:
+        if isinstance(node, str):
+            out.append(node)
+            continue
+        note, children = node
+        change = changes.get(note)
+        undone = change is not None and change.year is not None and change.year > year
+        out.append(tree_on(change.old if undone else children, changes, year))
+    return "".join(out)
+
+
+def history_on(pages: DataFrame, page_id: str, text: str, notes: str, year: str) -> DataFrame:
+    """(page_id, year, text) of history pages: text with n[ ... ]n spans, notes a map from their numbers, as each stood in its year; null texts are empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts, noted, years = (c.to_pylist() for c in b.columns)
+            made = [tree_on(change_tree(t or ""), {int(k): read_change(v or "") for k, v in dict(n or {}).items()}, y) for t, n, y in zip(texts, noted, years)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(years, pa.int32()), pa.array(made, pa.string())], names=[page_id, "year", "text"])
+
+    rows = pages.select(F.col(page_id).cast("bigint").alias(page_id), text, notes, F.col(year).cast("int").alias("year"))
+    return rows.mapInArrow(run, f"{page_id} bigint, year int, text string")
+
+
+def html_texts(docs: DataFrame, doc_id: str, page: str) -> DataFrame:
+    """(doc_id, text, notes) of HTML pages; null pages are empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            read = [html_text(p) for p in b.column(1).to_pylist()]
+            notes = pa.array([[(str(k), v) for k, v in n.items()] for _, n in read], pa.map_(pa.string(), pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t for t, _ in read], pa.string()), notes], names=[doc_id, "text", "notes"])
+
+    return docs.selectExpr(f"cast(`{doc_id}` as bigint) `{doc_id}`", f"`{page}`").mapInArrow(run, f"{doc_id} bigint, text string, notes map<string,string>")
+
+
 def text_on(source: Source, old_words: dict[int, str], made_by: dict[int, int], year: int) -> str:
     """The text as it stood in a year: an amendment not yet made gives way to the words it replaced."""
     text = source.text

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,10 @@ REQUIRED = ["statute", "unit", "number", "heading", "text", "in_force_from"]
 UNITS = ["section", "article", "rule"]
 
 
+#: Where a corpus may be named if the caller names none.
+CORPUS_ENV, CORPUS_FILE = "TEMPOLEX_CORPUS", "corpus.jsonl.gz"
+
+
 class BadRows(ValueError):
     """Rows that cannot be read or break a rule of the table."""
 
@@ -63,6 +69,28 @@ def checked_rows(rows: DataFrame) -> DataFrame:
     return rows.drop("_bad").withColumns({c: F.to_date(c, "yyyy-MM-dd") for c in ("in_force_from", "in_force_to")})
 
 
+def resolve_corpus(path: str | None = None, default: str = CORPUS_FILE) -> str:
+    """The named corpus, else the one of the environment, else the default."""
+    return path or os.environ.get(CORPUS_ENV) or default
+
+
+def load_corpus(spark: SparkSession, path: str | None = None) -> tuple[DataFrame, str]:
+    """(rows with dates, as_at) of a corpus in JSON Lines, or BadRows: unreadable rows, unknown fields, a header elsewhere than first, or no rows at all."""
+    path = resolve_corpus(path)
+    unknown = unknown_fields(spark, path)
+    if unknown:
+        raise BadRows("unknown fields: " + ", ".join(unknown))
+    late = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("n"))
+    headers = late.groupBy("f").agg(F.min("n").alias("first"), F.max(F.when(F.get_json_object("value", "$._corpus").isNotNull(), F.col("n"))).alias("head"), F.count_if(F.get_json_object("value", "$._corpus").isNotNull()).alias("heads"))
+    if headers.where("heads > 1 or head <> first").limit(1).count():
+        raise BadRows("a header that is not the first row")
+    rows = checked_rows(read_rows(spark, path))
+    if rows.limit(1).count() == 0:
+        raise BadRows("no rows")
+    meta = read_meta(spark, path).first()
+    return rows, (meta.as_at or "") if meta else ""
+
+
 def merged(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Both tables, refusing any key they share."""
     key = ["statute", "unit", "number"]

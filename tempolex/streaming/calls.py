@@ -5,6 +5,10 @@ The batch figures of operators.telemetry are the reference: a stream over the sa
 
 from __future__ import annotations
 
+import json
+import os
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +24,37 @@ def read_calls(spark: SparkSession, path: str, fmt: str = "json", files_per_trig
     return (reader.option("mode", "DROPMALFORMED").json(path) if fmt == "json" else reader.parquet(path)).where("event_id is not null")
 
 
+#: A file of calls is closed at this size and the next begins; one closed file is kept beside it.
+MOST_BYTES = 8 << 20
+
+
+def record(call: dict, path: str | None) -> bool:
+    """Appends one call as a JSON line to a local file, if a path is given. It never fails: a call that cannot be written is not.
+
+    A file that has reached MOST_BYTES becomes path.1, in the place of the one before.
+    """
+    if not path:
+        return False
+    try:
+        line = json.dumps({"at_s": time.time()} | call, ensure_ascii=False, default=str)
+        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+        if os.path.exists(path) and os.path.getsize(path) >= MOST_BYTES:
+            os.replace(path, f"{path}.1")
+        with open(path, "a", encoding="utf-8", newline="") as f:
+            f.write(line + "\n")
+        return True
+    except (OSError, TypeError, ValueError):
+        return False
+
+
+def recorded(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """The calls of a file and of the closed one beside it, damaged lines left out; with a limit the latest ones."""
+    there = [p for p in (f"{path}.1", path) if os.path.exists(p)]
+    calls = spark.read.schema(CALL).option("mode", "DROPMALFORMED").json(there) if there else spark.createDataFrame([], CALL)
+    calls = calls.where("at_s is not null or event_id is not null or tool is not null")
+    return calls.orderBy(F.desc("at_s")).limit(limit) if limit else calls
+
+
 def timed(calls: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Adds ts and drops repeated deliveries of an event within the watermark."""
     return calls.withColumn("ts", F.timestamp_seconds("at_s")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tempolex.functions import acts
 from tempolex.functions.diffing import word_diff
-from tempolex.sources import corpus_io
+from tempolex.operators import temporal as t
+from tempolex.sources import cleaning, corpus_io
 from tempolex.sources.cleaning import clean_pages, html_text, text_on
 from tempolex.sources.splitting import alike, buried_numbers, buried_offset, division_of, heaviest_chain, is_trailer, split_act, tail_run
 
@@ -151,3 +152,67 @@ def test_stream(spark, tmp_path):
         q.awaitTermination()
         out = spark.table(name).collect()
         assert {(r.tool, r.calls) for r in out} == want and len(out) == 3
+
+
+def test_acts_end_to_end(spark):
+    from tempolex.sources.building import provisions
+
+    body = "1. Short title.— Yes.\n2. Effect.— It binds.\n3. [Omitted by Act II of 1995.]"
+    rows = [(1, "The Widget Act, 1990", f"ACT No. V\n[16th August, 1990]\n{body}"), (2, "Old Fees Act, 1950 (repealed w.e.f. 3-4-1999)", body), (3, "Tolls Order", body), (4, "Empty Act, 1970", "nothing"),
+            (5, "Tea Act, 1960", f"1. Short title.— {'word ' * 13000}\n2. Effect.— Yes."), (6, None, None), (7, "The Widget Act, 1990", body)]
+    made, reasons = provisions(spark.createDataFrame(rows, "act_id bigint, title string, text string"), 2027)
+    got = {(r.act_id, r.number): (r.statute, str(r.in_force_from), str(r.in_force_to), r.start_known, r.manner) for r in made.collect()}
+    assert got == {(1, "1"): ("WAX", "1990-08-16", "None", True, ""), (1, "2"): ("WAX", "1990-08-16", "None", True, ""), (2, "1"): ("OFA", "1950-01-01", "1999-04-03", False, "repealed"), (2, "2"): ("OFA", "1950-01-01", "1999-04-03", False, "repealed")}
+    assert {r.act_id: r.reason for r in reasons.collect()} == {3: "no date", 4: "no provisions", 5: "runs away", 6: "no date"}
+
+
+def test_dates_and_titles(spark):
+    texts = {"x [2nd July 2016] y": "2016-07-02", "[31st June, 1997]\n  [ 16 August, 1997 ]  \n": "1997-08-16", "head [1st May, 1950]\n[2nd May, 1951]": "1951-05-02", "none": "None", None: "None"}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: str(r.d) for r in df.select("t", acts.assent_date(F.col("t")).alias("d")).collect()} == texts
+    titles = {"Order, 1984 (QSO)": "Order, 1984 (QSO)", "Fees Act, 1950 (repealed w.e.f. 3-4-1999)": "Fees Act, 1950", "Tolls Act (part": "Tolls Act", "Act) of 1990": "Act of 1990"}
+    got = spark.createDataFrame([(t,) for t in titles], "t string").select("t", acts.without_annotations(F.col("t")).alias("x")).collect()
+    assert {r.t: r.x for r in got} == titles
+    one = spark.createDataFrame([("a\u037eb\u00a0c\u2212d\u00ade",)], "t string").select(cleaning.normalise_source(F.col("t")).alias("x")).first()
+    assert one.x == "a;b c-de"
+    n = spark.createDataFrame([("302A",), ("IX/3",), ("Schedule",)], "n string").select("n", t.sequence_within(F.col("n")).alias("s")).collect()
+    assert {r.n: tuple(r.s) if r.s else None for r in n} == {"302A": (302, "A"), "IX/3": (3, ""), "Schedule": None}
+
+
+def test_history_pages(spark):
+    notes = {"1": 'Substituted by Ordinance II of 1980 for: "old 3[words]3"', "2": "Ins. by Act V of 1990", "3": 'Subs. by Act I of 1970 for: "older"'}
+    rows = [(1, "a 1[new 2[inner]2 words]1 z", notes, y) for y in (1960, 1975, 1985, 1995)] + [(2, None, None, 1990), (3, "stray ]9 and 8[open", {}, 1990)]
+    df = spark.createDataFrame(rows, "id bigint, text string, notes map<string,string>, year int")
+    got = {(r.id, r.year): r.text for r in cleaning.history_on(df, "id", "text", "notes", "year").collect()}
+    assert got == {(1, 1960): "a old older z", (1, 1975): "a old words z", (1, 1985): "a new  words z", (1, 1995): "a new inner words z", (2, 1990): "", (3, 1990): "stray  and open"}
+    pages = spark.createDataFrame([(1, "<p>Text</p><h2>Notes</h2><p>1. Words</p>"), (2, None)], "id bigint, page string")
+    assert {r.id: (r.text, r.notes) for r in cleaning.html_texts(pages, "id", "page").collect()} == {1: ("Text", {"1": "Words"}), 2: ("", {})}
+
+
+def test_corpus_is_refused(spark, tmp_path, monkeypatch):
+    row = {"statute": "A", "unit": "section", "number": "1", "heading": "h", "text": "t", "in_force_from": "2000-01-01"}
+    path = tmp_path / "c.jsonl"
+    write = lambda *rows: path.write_text("\n".join(map(json.dumps, rows)))
+    write({"_corpus": {"as_at": "2020-01-01"}}, row)
+    monkeypatch.setenv(corpus_io.CORPUS_ENV, str(path))
+    rows, as_at = corpus_io.load_corpus(spark)
+    assert rows.count() == 1 and as_at == "2020-01-01"
+    for bad in ([row, {"_corpus": {}}], [{**row, "colour": "red"}], [{"_corpus": {}}], [{**row, "unit": "clause"}]):
+        write(*bad)
+        with pytest.raises(corpus_io.BadRows):
+            corpus_io.load_corpus(spark, str(path))
+
+
+def test_recorded_calls(spark, tmp_path, monkeypatch):
+    from tempolex.streaming import calls
+
+    path = str(tmp_path / "log" / "calls.jsonl")
+    monkeypatch.setattr(calls, "MOST_BYTES", 200)
+    assert not calls.record({"event_id": 0}, None)
+    for i in range(6):
+        assert calls.record({"event_id": i, "at_s": float(i), "tool": "x" * 40}, path)
+    with open(path, "a") as f:
+        f.write('{"event_id": 9, "at')
+    got = [r.event_id for r in calls.recorded(spark, path).orderBy("at_s").collect()]
+    assert got == sorted(got) and got[-1] == 5 and 9 not in got and len(got) >= 3
+    assert [r.event_id for r in calls.recorded(spark, path, 2).collect()] == [5, 4] and calls.recorded(spark, path + "x").count() == 0
