@@ -27,6 +27,23 @@ def citation_parse(spark, d):
     return citations(table(spark, d, "documents"), "doc_id", "text", _acts(spark, d))
 
 
+def citation_round_trip(spark, d):
+    """Every section and article of the record cited in one of several forms, and read again."""
+    held = _versions(spark, d).groupBy("statute", "unit", "number").agg(F.min("version_id").alias("doc_id"))
+    form = lambda *forms: F.when(F.col("doc_id") % len(forms) == 0, F.format_string(forms[0], "number", "statute"))
+
+    def chosen(forms: list[str]):
+        out = form(*forms)
+        for k, f in enumerate(forms[1:], 1):
+            out = out.when(F.col("doc_id") % len(forms) == k, F.format_string(f, "number", "statute"))
+        return out
+
+    section = chosen(["as section %s %s says", "under s. %s of the %s, and", "charged u/s %s %s;", "Secs. %s, of %s", "see § %s of the %s (1990)"])
+    article = chosen(["Article %s of the %s", "by Art. %s %s;", "articles %s, %s, apply"])
+    printed = held.select("doc_id", F.when(F.col("unit") == "section", section).when(F.col("unit") == "article", article).alias("text"))
+    return citations(printed, "doc_id", "text", _acts(spark, d)).select("doc_id", "key")
+
+
 def default_act_resolution(spark, d):
     """Citations of charge sheets with the Act the document is about as default."""
     docs = table(spark, d, "documents")
@@ -123,6 +140,10 @@ def refusal_statuses(spark, d):
     return telemetry.value_counts(_events(spark, d).where("refused"), "refusal_status")
 
 
+def telemetry_overall(spark, d):
+    return telemetry.overall(_events(spark, d))
+
+
 def telemetry_recent(spark, d):
     return telemetry.recent(_events(spark, d)).select("event_id", "tool", "outcome", "ms")
 
@@ -139,12 +160,13 @@ _CLOSE = """SELECT old.key, f, CASE WHEN t IS NULL AND f = live_from AND on_ > l
 QUERIES = {
     f.__name__: f
     for f in (
-        citation_parse, default_act_resolution, citation_audit, citation_verdict_rollup, audit_of_keys, amend_substitute, amend_repeal, amend_insert, amend_refused,
-        telemetry_summary, telemetry_percentiles, telemetry_status_counts, telemetry_outcomes, telemetry_errors, refusal_rate, refusal_statuses, telemetry_recent,
+        citation_parse, citation_round_trip, default_act_resolution, citation_audit, citation_verdict_rollup, audit_of_keys, amend_substitute, amend_repeal, amend_insert, amend_refused,
+        telemetry_summary, telemetry_percentiles, telemetry_status_counts, telemetry_outcomes, telemetry_errors, refusal_rate, refusal_statuses, telemetry_recent, telemetry_overall,
     )
 }
 
 SQL = {
+    "citation_round_trip": f"""WITH {PROV} SELECT min(version_id) AS doc_id, statute || ':' || unit || ':' || number AS key FROM prov WHERE unit IN ('section', 'article') AND regexp_full_match(number, '[0-9]{{1,4}}[A-Z]{{0,3}}') GROUP BY statute, unit, number""",
     "audit_of_keys": f"""WITH {PROV}, {ASKED}, sp AS (SELECT key, min(in_force_from) AS f0, max(in_force_from) AS l0, arg_min(coalesce(start_known, true), in_force_from) AS known FROM prov GROUP BY key),
       a AS (SELECT item_id, asked.key, as_of, CASE WHEN e.key IS NOT NULL THEN asked.key ELSE regexp_replace(asked.key, '(?:\\([0-9A-Za-z]+\\))+$', '') END AS at FROM asked LEFT JOIN sp e ON e.key = asked.key)
       SELECT DISTINCT item_id, a.key, CASE WHEN split_part(a.key, ':', 1) NOT IN (SELECT statute FROM prov) THEN 'statute_not_loaded' WHEN sp.key IS NULL THEN 'unknown_provision'
@@ -164,5 +186,8 @@ SQL = {
     "telemetry_errors": f"WITH {_EV} SELECT error AS value, count(*) AS n FROM ev WHERE error IS NOT NULL GROUP BY error",
     "refusal_rate": f"WITH {_EV} SELECT count(*) AS calls, count(*) FILTER (refused) AS refused, round(count(*) FILTER (refused) / count(*), 3) AS rate FROM ev",
     "refusal_statuses": f"WITH {_EV} SELECT refusal_status AS value, count(*) AS n FROM ev WHERE refused AND refusal_status IS NOT NULL GROUP BY refusal_status",
+    "telemetry_overall": f"""WITH {_EV.replace('error, statuses', 'error, is_sample, statuses')}, o AS (SELECT ms, row_number() OVER (ORDER BY ms) AS rn, count(*) OVER () AS n FROM ev)
+      SELECT count(*) AS calls, min(at_s) AS first_at, max(at_s) AS last_at, count(*) FILTER (refused) AS refused, max(ms) AS longest, CASE WHEN bool_and(coalesce(is_sample, false)) THEN true WHEN NOT bool_or(coalesce(is_sample, false)) THEN false END AS sample,
+        round(count(*) FILTER (refused) / count(*), 3) AS refusal_rate, (SELECT min(ms) FILTER (rn = least(n, greatest(1, round_even(0.5 * n + 0.5, 0)))) FROM o) AS p50, (SELECT min(ms) FILTER (rn = least(n, greatest(1, round_even(0.95 * n + 0.5, 0)))) FROM o) AS p95 FROM ev""",
     "telemetry_recent": f"WITH {_EV} SELECT event_id, tool, outcome, ms FROM ev ORDER BY at_s DESC, event_id DESC LIMIT 25",
 }

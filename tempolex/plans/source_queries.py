@@ -11,6 +11,7 @@ from tempolex.functions import acts as a
 from tempolex.functions.diffing import diff_rows
 from tempolex.functions.keys import iso_date
 from tempolex.operators import temporal as t
+from tempolex.plans.problems import SQL as PROBLEM_SQL
 from tempolex.plans.problems import p5_history
 from tempolex.plans.temporal_queries import _CONTENTS, DAY, PROV
 from tempolex.session import shared_dir, table
@@ -79,6 +80,31 @@ def word_diff(spark, d):
     return diff_rows(pairs, "pair_id", "old", "text").join(names, "pair_id").drop("pair_id")
 
 
+def history_pages(spark, d):
+    """Consecutive recorded versions printed as a page with one substitution, read as of the year before it was made: the older text must come back."""
+    key = ["statute", "unit", "number"]
+    history = p5_history(spark, d).withColumn("old", F.lag("text").over(Window.partitionBy(*key).orderBy("valid_from")))
+    plain = lambda c: F.trim(F.regexp_replace(F.col(c), r"[\[\]\"“”\s\p{Z}]+", " "))
+    year = F.substring("valid_from", 1, 4).cast("int")
+    pages = history.where("old is not null and text is not null").select(
+        F.xxhash64(*key, "valid_from").alias("page_id"), *key, "valid_from", F.concat(F.lit("Before. 1["), plain("text"), F.lit("]1 After.")).alias("page"),
+        F.create_map(F.lit("1"), F.concat(F.lit("Substituted by Act I of "), year.cast("string"), F.lit(' for: "'), plain("old"), F.lit('"'))).alias("notes"), (year - 1).alias("year"),
+    )
+    then = cleaning.history_on(pages, "page_id", "page", "notes", "year")
+    return then.join(pages.select("page_id", *key, "valid_from"), "page_id").select(*key, "valid_from", "text")
+
+
+def assent_dates(spark, d):
+    """The dates of assent of Acts, printed in a header and read again."""
+    printed = F.concat(F.lit("ACT No. I\n[ "), F.date_format("assent_on", "d"), F.lit("th "), F.date_format("assent_on", "MMMM"), F.lit(", "), F.date_format("assent_on", "yyyy"), F.lit(" ]\nAn Act"))
+    return table(spark, d, "acts").select("statute", iso_date(a.assent_date(printed)).alias("assent_on"))
+
+
+def source_normalise(spark, d):
+    """Length of every text after lookalike and invisible characters are normalised."""
+    return t.records(table(spark, d, "sample_corpus"), ["text"]).where("text is not null").select("version_id", F.length(cleaning.normalise_source(F.col("text"))).alias("length"))
+
+
 def row_problems(spark, d):
     """Rules the delivered rows break, read as text rows would be."""
     rows = table(spark, d, "sample_corpus")
@@ -121,11 +147,12 @@ def stream_tool_windows(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (repeal_title_dates, act_identity, act_keys, act_split, act_split_report, source_clean, buried_numbers, swallowed_stars, word_diff, row_problems, jsonl_round_trip, stream_tool_windows)
+    for f in (repeal_title_dates, act_identity, act_keys, act_split, act_split_report, source_clean, buried_numbers, swallowed_stars, word_diff, history_pages, assent_dates, source_normalise, row_problems, jsonl_round_trip, stream_tool_windows)
 }
 
 _EFF = r"(?i)w\.?\s?e\.?\s?f\.?\s*(\d{1,2})[-./](\d{1,2})[-./](\d{2,4})"
 _FOUR = "(CASE WHEN {0} >= 100 THEN {0} WHEN {0} <= 40 THEN {0} + 2000 ELSE {0} + 1900 END)"
+P5_SQL = PROBLEM_SQL["p5_history"]
 _SPACES = r"'[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+'"
 _PAGES = f"""{PROV}, {_CONTENTS}, pr AS (SELECT c.*, p.unit, p.number, coalesce(p.text, '') AS text, (c.position - 1) // 50 AS page FROM contents c JOIN prov p USING (version_id) QUALIFY row_number() OVER (PARTITION BY c.key ORDER BY version_id) = 1),
 pg AS (SELECT *, first_value(version_id) OVER (PARTITION BY statute, unit, page ORDER BY position) AS page_id FROM pr)"""
@@ -143,6 +170,10 @@ SQL = {
     "act_identity": r"""SELECT statute, CAST(coalesce(list_last(regexp_extract_all(title, '(?:^|[^0-9])([0-9]{4})', 1)), '0') AS INTEGER) AS title_year,
       coalesce(regexp_extract(act_number, '(?i)\b(?:act|ordinance|order|regulation|ord\.)\s+(?:no\.?\s*)?([IVXLCDM]+|\d+)\s+of\s+\d{2,4}', 1), '') AS number,
       upper(array_to_string(list_transform(list_filter(regexp_extract_all(regexp_replace(title, ',?\s*\d{4}$', ''), '[A-Za-z][0-9A-Za-z_''-]*'), lambda w: lower(w) NOT IN ('of', 'the', 'and', 'for', 'to', 'in', 'on', 'a', 'an')), lambda w: w[1]), '')) AS initials FROM acts""",
+    "history_pages": rf"""WITH p5 AS ({P5_SQL}), h AS (SELECT statute, unit, number, valid_from, text, lag(text) OVER (PARTITION BY statute, unit, number ORDER BY valid_from) AS old FROM p5)
+      SELECT statute, unit, number, valid_from, 'Before. ' || trim(regexp_replace(old, '[\[\]"“”\s\p{{Z}}]+', ' ', 'g')) || ' After.' AS text FROM h WHERE old IS NOT NULL AND text IS NOT NULL""",
+    "assent_dates": "SELECT statute, coalesce(strftime(assent_on, '%Y-%m-%d'), '') AS assent_on FROM acts",
+    "source_normalise": f"WITH {PROV} SELECT version_id, CAST(length(translate(text, chr(894) || chr(8722) || chr(160) || chr(173) || chr(8203) || chr(8288) || chr(65279), ';- ')) AS INTEGER) AS length FROM rec WHERE text IS NOT NULL",
     "swallowed_stars": f"""WITH {PROV} SELECT version_id, CAST(length(trim(regexp_replace(regexp_replace(text, '^(\\S+)', '\\1 * * *'), '(?:\\*\\s*){{2,}}', '', 'g'), ' ')) AS INTEGER) AS length FROM rec WHERE text IS NOT NULL""",
     "row_problems": """WITH p AS (SELECT unnest(list_filter([CASE WHEN statute IS NULL THEN 'no statute' END, CASE WHEN unit IS NULL THEN 'no unit' END, CASE WHEN number IS NULL THEN 'no number' END, CASE WHEN heading IS NULL THEN 'no heading' END,
       CASE WHEN text IS NULL THEN 'no text' END, CASE WHEN in_force_from IS NULL THEN 'no in_force_from' END, CASE WHEN lower(trim(unit)) NOT IN ('section', 'article', 'rule') THEN 'unknown unit' END,

@@ -92,6 +92,12 @@ def statute_order_sort(spark, d):
     return _versions(spark, d).select("statute", "number").distinct().select("statute", "number", *t.provision_order(F.col("number")))
 
 
+def sequence_places(spark, d):
+    """The place of every number in the numbering a later heading would continue; -1 for those in none."""
+    place = t.sequence_within(F.col("number"))
+    return _versions(spark, d).select("number").where("number is not null").distinct().select("number", F.coalesce(place["n"], F.lit(-1)).alias("n"), F.coalesce(place["suffix"], F.lit("")).alias("suffix"))
+
+
 def paged_listing(spark, d):
     listing = t.contents(_versions(spark, d), DAY)
     return t.page(listing, ["statute", "position"], 200, 200).select("statute", "position", "key", "version_id", "total", "next_offset")
@@ -141,7 +147,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         snapshot_as_of, versions_ranked, version_current, version_history, asof_citation_lookup, nearest_version, status_note_case, resolve_subdivision,
-        validate_versions, record_start_floor, coverage_warnings, changes_feed, contents_listing, contents_counts, compare_pair, statute_order_sort,
+        validate_versions, record_start_floor, coverage_warnings, changes_feed, contents_listing, contents_counts, compare_pair, statute_order_sort, sequence_places,
         paged_listing, corpus_info_rollup, corpus_info_top, number_normalise, range_expand, display_citation,
     )
 }
@@ -184,6 +190,8 @@ SQL = {
       count(*) FILTER (in_force_from > DATE '{EARLIER}' AND in_force_from <= DATE '{DAY}') AS begun,
       count(DISTINCT amended_by) FILTER (in_force_to > DATE '{EARLIER}' AND in_force_to <= DATE '{DAY}' AND amended_by <> '') AS instruments FROM prov GROUP BY key""",
     "statute_order_sort": f"WITH {PROV} SELECT statute, number, {_ORDER} FROM (SELECT DISTINCT statute, number FROM prov)",
+    "sequence_places": rf"""WITH {PROV} SELECT DISTINCT number, CAST(CASE WHEN regexp_matches(number, '^\d') THEN coalesce(try_cast(regexp_extract(number, '^(\d+)', 1) AS BIGINT), 0) WHEN regexp_matches(number, '^[IVXLC]+/\d+$') THEN CAST(split_part(number, '/', 2) AS BIGINT) ELSE -1 END AS BIGINT) AS n,
+      CASE WHEN regexp_matches(number, '^\d') THEN regexp_extract(number, '^(\d+)([A-Z]*)', 2) ELSE '' END AS suffix FROM prov WHERE number IS NOT NULL""",
     "paged_listing": f"""WITH {PROV}, {_CONTENTS}, n AS (SELECT count(*) AS total FROM contents)
       SELECT statute, position, key, version_id, total, CASE WHEN total > 400 THEN 400::BIGINT END AS next_offset FROM (SELECT * FROM contents ORDER BY statute, position LIMIT 200 OFFSET 200), n""",
     "corpus_info_rollup": f"WITH {PROV}, {_INFO} SELECT * REPLACE (strftime(earliest, '%Y-%m-%d') AS earliest, strftime(latest_change, '%Y-%m-%d') AS latest_change) FROM info",
