@@ -227,22 +227,23 @@ def contents_counts(df: DataFrame, day: str) -> DataFrame:
 
 
 def compare_dates(df: DataFrame, before: str, after: str) -> DataFrame:
-    """(key, version_before, version_after, begun, instruments): the versions on two dates, and what happened in (before, after]."""
+    """(key, version_before, version_after, begun, instruments, named): the versions on two dates, and what happened in (before, after]; named lists the instruments."""
     a, b = F.lit(before).cast("date"), F.lit(after).cast("date")
     inside = lambda c: (F.col(c) > a) & (F.col(c) <= b)
     return df.groupBy("key").agg(
         F.min(F.when(in_force(a), F.col("version_id"))).alias("version_before"),
         F.min(F.when(in_force(b), F.col("version_id"))).alias("version_after"),
         F.count_if(inside("in_force_from")).alias("begun"),
-        F.count_distinct(F.when(inside("in_force_to") & (F.col("amended_by") != ""), F.col("amended_by"))).alias("instruments"),
-    )
+        F.array_sort(F.collect_set(F.when(inside("in_force_to") & (F.col("amended_by") != ""), F.col("amended_by")))).alias("n"),
+    ).select("key", "version_before", "version_after", "begun", F.size("n").cast("bigint").alias("instruments"), F.array_join("n", "; ").alias("named"))
 
 
 def corpus_info(df: DataFrame) -> DataFrame:
-    """(statute, provisions, versions, live, earliest, latest_change) of every statute."""
+    """(statute, provisions, versions, live, earliest, latest_change, recorded_from) of every statute; recorded_from is null where the record knows every start."""
     return df.groupBy("statute").agg(
         F.count_distinct("key").alias("provisions"), F.count("*").alias("versions"), F.count_if(F.col("in_force_to").isNull()).alias("live"),
         F.min("in_force_from").alias("earliest"), F.max(F.greatest("in_force_from", F.coalesce("in_force_to", "in_force_from"))).alias("latest_change"),
+        F.max(F.when(F.col("start_known") == F.lit(False), F.col("in_force_from"))).alias("recorded_from"),
     )
 
 

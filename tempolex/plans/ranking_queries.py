@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tempolex.functions.analysis import STOPWORDS, SUFFIXES, expansion, related_words, stems, without_stopwords, words
 from tempolex.functions.keys import iso_date
+from tempolex.functions.naming import named_acts
 from tempolex.operators import decide
 from tempolex.operators import ranking as r
 from tempolex.operators import temporal as t
@@ -230,4 +231,18 @@ def quality_scoreboard(spark, d):
     return scoreboard(decided, table(spark, d, "benchmark").select("item_id", "suite", "expected_citation"), v)
 
 
-QUERIES |= {f.__name__: f for f in (answer_end_to_end, quality_scoreboard)}
+def question_scope(spark, d):
+    """Of every benchmark item asked as a question: the Act or country it names that is not held, and the held Act it keeps to."""
+    keys = [row.statute for row in table(spark, d, "acts").select("statute").collect()]  # the fixed list of Acts
+    return named_acts(_questions(spark, d), _versions(spark, d), keys).select("item_id", "unheld", F.coalesce("scope", F.lit("")).alias("scope"))
+
+
+def answers_written(spark, d):
+    """What is served to every benchmark item: the citation written out, its heading, and what the record says of it on the date."""
+    decided, _ = _decided(spark, d)
+    v = t.versions(table(spark, d, "sample_corpus"), [*COLUMNS, "superseded_by", "manner", "start_known", "end_known"])
+    served = decide.answers(decided, _questions(spark, d), v)
+    return served.select("item_id", "status", *[F.coalesce(c, F.lit("")).alias(c) for c in ("citation", "heading", "status_note")])
+
+
+QUERIES |= {f.__name__: f for f in (answer_end_to_end, quality_scoreboard, question_scope, answers_written)}

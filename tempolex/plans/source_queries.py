@@ -65,6 +65,11 @@ def buried_numbers(spark, d):
     return splitting.buried(_act_pages(spark, d, 8), "page_id", "first", "text").select("page_id", F.array_join("numbers", " ").alias("numbers"))
 
 
+def swallowed_headings(spark, d):
+    """Versions of the record whose text runs on into later provisions, with their numbers."""
+    return splitting.buried(t.versions(table(spark, d, "sample_corpus"), ["text", "in_force_from", "in_force_to"]), "version_id", "number", "text").select("version_id", F.array_join("numbers", " ").alias("numbers"))
+
+
 def swallowed_stars(spark, d):
     """Texts with a mark of omission put behind their first word and taken out again."""
     marked = F.regexp_replace("text", r"^(\S+)", "$1 * * *")
@@ -147,7 +152,7 @@ def stream_tool_windows(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (repeal_title_dates, act_identity, act_keys, act_split, act_split_report, source_clean, buried_numbers, swallowed_stars, word_diff, history_pages, assent_dates, source_normalise, row_problems, jsonl_round_trip, stream_tool_windows)
+    for f in (repeal_title_dates, act_identity, act_keys, act_split, act_split_report, source_clean, buried_numbers, swallowed_headings, swallowed_stars, word_diff, history_pages, assent_dates, source_normalise, row_problems, jsonl_round_trip, stream_tool_windows)
 }
 
 _EFF = r"(?i)w\.?\s?e\.?\s?f\.?\s*(\d{1,2})[-./](\d{1,2})[-./](\d{2,4})"

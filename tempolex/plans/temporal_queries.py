@@ -104,7 +104,7 @@ def paged_listing(spark, d):
 
 
 def corpus_info_rollup(spark, d):
-    return t.corpus_info(_versions(spark, d)).withColumns({c: iso_date(F.col(c)) for c in ("earliest", "latest_change")})
+    return t.corpus_info(_versions(spark, d)).withColumns({c: iso_date(F.col(c)) for c in ("earliest", "latest_change", "recorded_from")})
 
 
 def corpus_info_top(spark, d):
@@ -141,7 +141,7 @@ list AS (SELECT statute, unit, number, key, version_id, heading, n > 1 AS amende
 contents AS (SELECT statute, key, version_id, heading, amended, row_number() OVER (PARTITION BY statute ORDER BY unit, order_scheme, order_n, order_suffix, order_rule, number, version_id)::INTEGER AS position FROM list)"""
 _W = "WINDOW w AS (PARTITION BY key ORDER BY in_force_from, version_id)"
 _INFO = """info AS (SELECT statute, count(DISTINCT key) AS provisions, count(*) AS versions, count(*) FILTER (in_force_to IS NULL) AS live, min(in_force_from) AS earliest,
-  max(greatest(in_force_from, coalesce(in_force_to, in_force_from))) AS latest_change FROM prov GROUP BY statute)"""
+  max(greatest(in_force_from, coalesce(in_force_to, in_force_from))) AS latest_change, max(in_force_from) FILTER (start_known = false) AS recorded_from FROM prov GROUP BY statute)"""
 
 QUERIES = {
     f.__name__: f
@@ -188,13 +188,14 @@ SQL = {
       SELECT statute, CAST(sum(live) AS BIGINT) AS in_force, CAST(sum(1 - live) AS BIGINT) AS not_in_force FROM k GROUP BY statute""",
     "compare_pair": f"""WITH {PROV} SELECT key, coalesce(min(version_id) FILTER ({LIVE.format(f"DATE '{EARLIER}'")}), 0) AS version_before, coalesce(min(version_id) FILTER ({LIVE.format(f"DATE '{DAY}'")}), 0) AS version_after,
       count(*) FILTER (in_force_from > DATE '{EARLIER}' AND in_force_from <= DATE '{DAY}') AS begun,
-      count(DISTINCT amended_by) FILTER (in_force_to > DATE '{EARLIER}' AND in_force_to <= DATE '{DAY}' AND amended_by <> '') AS instruments FROM prov GROUP BY key""",
+      count(DISTINCT amended_by) FILTER (in_force_to > DATE '{EARLIER}' AND in_force_to <= DATE '{DAY}' AND amended_by <> '') AS instruments,
+      coalesce(array_to_string(list_sort(list(DISTINCT amended_by) FILTER (in_force_to > DATE '{EARLIER}' AND in_force_to <= DATE '{DAY}' AND amended_by <> '')), '; '), '') AS named FROM prov GROUP BY key""",
     "statute_order_sort": f"WITH {PROV} SELECT statute, number, {_ORDER} FROM (SELECT DISTINCT statute, number FROM prov)",
     "sequence_places": rf"""WITH {PROV} SELECT DISTINCT number, CAST(CASE WHEN regexp_matches(number, '^\d') THEN coalesce(try_cast(regexp_extract(number, '^(\d+)', 1) AS BIGINT), 0) WHEN regexp_matches(number, '^[IVXLC]+/\d+$') THEN CAST(split_part(number, '/', 2) AS BIGINT) ELSE -1 END AS BIGINT) AS n,
       CASE WHEN regexp_matches(number, '^\d') THEN regexp_extract(number, '^(\d+)([A-Z]*)', 2) ELSE '' END AS suffix FROM prov WHERE number IS NOT NULL""",
     "paged_listing": f"""WITH {PROV}, {_CONTENTS}, n AS (SELECT count(*) AS total FROM contents)
       SELECT statute, position, key, version_id, total, CASE WHEN total > 400 THEN 400::BIGINT END AS next_offset FROM (SELECT * FROM contents ORDER BY statute, position LIMIT 200 OFFSET 200), n""",
-    "corpus_info_rollup": f"WITH {PROV}, {_INFO} SELECT * REPLACE (strftime(earliest, '%Y-%m-%d') AS earliest, strftime(latest_change, '%Y-%m-%d') AS latest_change) FROM info",
+    "corpus_info_rollup": f"WITH {PROV}, {_INFO} SELECT * REPLACE (strftime(earliest, '%Y-%m-%d') AS earliest, strftime(latest_change, '%Y-%m-%d') AS latest_change, coalesce(strftime(recorded_from, '%Y-%m-%d'), '') AS recorded_from) FROM info",
     "corpus_info_top": f"WITH {PROV}, {_INFO} SELECT statute, versions FROM info ORDER BY versions DESC, statute LIMIT 50",
     "number_normalise": r"""WITH n AS (SELECT DISTINCT number, trim(translate(number, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789')) AS m FROM sample_corpus)
       SELECT number, CASE WHEN regexp_matches(m, '^\d') THEN regexp_extract(m, '^(\d+)-?([A-Za-z]*)(.*)$', 1) || upper(regexp_extract(m, '^(\d+)-?([A-Za-z]*)(.*)$', 2)) || lower(regexp_extract(m, '^(\d+)-?([A-Za-z]*)(.*)$', 3)) ELSE upper(m) END AS normal FROM n""",

@@ -56,3 +56,30 @@ def test_smallest_window():
     assert r.smallest_window([[0, 9], [5], [7]]) == 4
     assert r.tightness([[3], [3]], 2) == 1.0
     assert r.tightness([[1], []], 2) == 0.0
+
+
+def test_a_scope_keeps_the_statistics_of_the_whole_snapshot(spark):
+    rows = [(1, "A", "1", "", "kado milu", D, None), (2, "B", "1", "", "kado milu", D, None), (3, "B", "2", "", "kado zulu", D, None)]
+    v = spark.createDataFrame(rows, "version_id bigint, statute string, number string, heading string, text string, in_force_from date, in_force_to date")
+    q = ask(spark, ["kado milu", "kado milu"]).selectExpr("*", "case when item_id = 1 then 'A' end scope")
+    got = {(x.item_id, x.version_id): x.score for x in r.top_hits(q, r.build_index(v)).collect()}
+    assert set(got) == {(0, 1), (0, 2), (0, 3), (1, 1)} and got[0, 1] == got[1, 1]
+
+
+def test_more_terms_than_a_mask_holds(spark):
+    terms = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}q" for i in range(150)]
+    v = versions(spark, [(1, "1", "", " ".join(terms[::2])), (2, "2", "", " ".join(terms[:5]))])
+    got = r.top_hits(ask(spark, [" ".join(terms)]), r.build_index(v)).orderBy("position").collect()
+    assert [(x.version_id, x.matched, x.coverage) for x in got] == [(1, 75, 0.5), (2, 5, 5 / 150)] and got[0].terms == sorted(terms[::2])
+
+
+def test_defined_terms_stay(spark):
+    v = versions(spark, [(1, "1", "Person", "a person means"), (2, "2", "Of sales", "sales"), (3, "3", None, "x")])
+    assert {x.term for x in r.defined_terms(v).collect()} == {"person"} and r.defined_stopwords(v) == ["person"]
+    assert [x.version_id for x in r.top_hits(ask(spark, ["person"]), r.build_index(v)).collect()] == [1]
+
+
+def test_why(spark):
+    hits = spark.createDataFrame([(1, 7, 3, ["a", "b"]), (2, 8, 1, ["c"])], "item_id bigint, version_id bigint, asked int, terms array<string>")
+    weights = spark.createDataFrame([(1, "a", 0.5), (1, "b", 2.0), (1, "z", 9.0), (2, "c", 1.0)], "item_id bigint, term string, weight double")
+    assert {x.item_id: x.why for x in r.why(hits, weights).collect()} == {1: "2 of 3 terms: b (2.00), a (0.50)", 2: "c (1.00)"}

@@ -216,3 +216,11 @@ def test_recorded_calls(spark, tmp_path, monkeypatch):
     got = [r.event_id for r in calls.recorded(spark, path).orderBy("at_s").collect()]
     assert got == sorted(got) and got[-1] == 5 and 9 not in got and len(got) >= 3
     assert [r.event_id for r in calls.recorded(spark, path, 2).collect()] == [5, 4] and calls.recorded(spark, path + "x").count() == 0
+
+
+def test_arrays_and_byte_order_marks(spark, tmp_path):
+    row = {"statute": "A", "unit": "section", "number": "1", "heading": "h", "text": "t", "in_force_from": "2000-01-01"}
+    (tmp_path / "a.json").write_bytes(b"\xef\xbb\xbf" + json.dumps([row, {**row, "number": "2"}]).encode())
+    (tmp_path / "b.jsonl").write_bytes(b"\xef\xbb\xbf" + "\n".join([json.dumps(row), json.dumps({**row, "number": "2"})]).encode())
+    for name, array in (("a.json", True), ("b.jsonl", False)):
+        assert sorted(r.number for r in corpus_io.read_rows(spark, str(tmp_path / name), array).collect()) == ["1", "2"]
