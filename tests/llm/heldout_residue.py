@@ -1,4 +1,7 @@
-"""Wording written for measuring only, none of it from the tables of the operator: residue, and real text that speaks of like things."""
+"""Sentences written for measuring only, by someone who knew the operator's tables: residue, and real text that speaks of like things.
+
+Nothing was tuned on them, but many hold phrases of the tables, so the share found says little about unseen wording.
+"""
 
 RESIDUE = """
 You need to enable JavaScript to run this app.
