@@ -2,7 +2,9 @@
 
 import itertools
 import random
+import time
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -154,6 +156,34 @@ def test_divided_anchors_let_every_two_texts_meet():
     assert len(set(key[place < 60].tolist())) == 6 and largest < 60
 
 
+def test_texts_with_smaller_partners_only_meet_all_others_once():
+    texts, lone = np.arange(100, 160), np.arange(60) % 3 > 0
+    out, key, _ = neardup.divided(texts, np.arange(60), np.full(60, 5, np.uint64), np.arange(60), np.full(60, 8), lone)
+    keys = [set(key[out == i].tolist()) for i in range(60)]
+    assert {len(k) for k, x in zip(keys, lone) if x} == {4} and {len(k) for k, x in zip(keys, lone) if not x} == {7}
+    assert all(a & b for (a, x), (b, y) in itertools.combinations(zip(keys, lone), 2) if not (x and y))
+    assert all(len(a & b) == 1 for (a, x), (b, y) in itertools.combinations(zip(keys, lone), 2) if x != y)
+
+
+@pytest.mark.parametrize("t", [Fraction(1, 2), Fraction(4, 5)])
+def test_only_partners_in_reach_are_looked_at(t):
+    rng = np.random.default_rng(5)
+    size, group = rng.integers(1, 60, 400), np.repeat(np.arange(4), 100)
+    order = np.lexsort((size, group))
+    size, place = size[order], (rng.random(400) * neardup.anchor_count(size[order], t)).astype(int)
+    most, ahead = neardup.partners(size, place, group, t)
+    for i in range(400):
+        within = [j for j in range(i + 1, 400) if group[j] == group[i] and (size[i] - place[i]) * (1 + t) >= t * (size[i] + size[j])]
+        assert len(within) == ahead[i] and within == list(range(i + 1, i + 1 + ahead[i]))
+    # at late places of equal sizes nothing is left to look at, however many texts meet
+    many = 40_000
+    began, n = time.process_time(), np.full(many, 90)
+    ids, sketch = np.arange(many), rng.integers(0, 1 << 62, (many, neardup.SKETCH_WORDS)).astype(np.uint64)
+    late = np.full(many, neardup.anchor_count(np.array([90]), 2 * t / (1 + t))[0])
+    assert not list(neardup.anchor_pairs(ids, n, sketch, np.arange(many), np.zeros(many, np.uint32), late, t))
+    assert time.process_time() - began < 3
+
+
 def test_a_text_is_no_pair_with_itself():
     assert neardup.distinct_pairs(np.array([7, 7, 9, 8]), np.array([7, 8, 8, 9])).tolist() == [[7, 8], [8, 9]]
 
