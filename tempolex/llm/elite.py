@@ -3,7 +3,8 @@
 Each term has a histogram: in how many records it occurs 0, 1, 2, ... times. Two Poisson distributions are fitted to
 it, one for records that are about the term (elite) and one for all others. The posterior probability of the elite
 component scores each occurrence count, and the score weighs it by how few records hold the term. A score depends on
-(term, count) only, so the records are joined with a table of the size of the vocabulary, not with each other.
+(term, count) only, so the records are joined with a table of the size of the vocabulary, not with each other; the
+records of a chunk that hold a term equally often come to it as one row.
 """
 
 from __future__ import annotations
@@ -65,7 +66,7 @@ def posterior(k: np.ndarray, share: np.ndarray, high: np.ndarray, low: np.ndarra
 
 
 def _count_within(batches: Iterator[pa.RecordBatch], min_tf: int, min_chars: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Histogram rows (version_id null) of every chunk, and the rows (version_id, term, tf) worth scoring."""
+    """(term, tf, n, ids) of every chunk: how many of its records hold the term so often, and which, if that is worth scoring."""
     for chunk in grouped_batches(batches, "joined", CHUNK_BYTES):
         ids = plain(chunk.column("id"))
         codes, words, lengths = token_codes(plain(chunk.column("joined")))
@@ -75,16 +76,14 @@ def _count_within(batches: Iterator[pa.RecordBatch], min_tf: int, min_chars: int
         pairs, tf = np.unique(row * len(words) + codes, return_counts=True)
         row, word = pairs // len(words), pairs % len(words)
         most = int(tf.max()) + 1
-        cells, n = np.unique(word * most + tf, return_counts=True)
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(cells), pa.int64()), words.take(pa.array(cells // most)), pa.array((cells % most).astype(np.int32)), pa.array(n.astype(np.int64))], schema=schema
-        )
-        long = pc.greater_equal(pc.utf8_length(words), min_chars).to_numpy(zero_copy_only=False)
-        keep = np.flatnonzero((tf >= min_tf) & long[word])
-        if len(keep):
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(row[keep])), words.take(pa.array(word[keep])), pa.array(tf[keep].astype(np.int32)), pa.nulls(len(keep), pa.int64())], schema=schema
-            )
+        cell = word * most + tf
+        cells, n = np.unique(cell, return_counts=True)
+        word, tf = cells // most, cells % most
+        keep = (tf >= min_tf) & pc.greater_equal(pc.utf8_length(words), min_chars).to_numpy(zero_copy_only=False)[word]
+        order = np.argsort(cell, kind="stable")
+        held = ids.take(pa.array(row[order[np.repeat(keep, n)]]))
+        offsets = pa.array(np.r_[0, np.cumsum(np.where(keep, n, 0))].astype(np.int32))
+        yield pa.RecordBatch.from_arrays([words.take(pa.array(word)), pa.array(tf.astype(np.int32)), pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(offsets, held)], schema=schema)
 
 
 def _fit_batches(all_records: int, schema: pa.Schema):
@@ -124,20 +123,20 @@ def term_scores(records: DataFrame, record_id: str, joined: str, all_records: in
     keeps, of the fitted terms, those held by that many records. records has one row per record_id, joined holds single-space joined tokens.
     Null and empty texts give no rows, as does an empty table; other columns are ignored.
     """
-    schema = pa.schema([("id", pa.int64()), ("term", pa.string()), ("tf", pa.int32()), ("n", pa.int64())])
+    schema = pa.schema([("term", pa.string()), ("tf", pa.int32()), ("n", pa.int64()), ("ids", pa.list_(pa.int64()))])
     counted = materialise(
         small_batches(records)
         .select(F.col(record_id).alias("id"), F.coalesce(F.col(joined), F.lit("")).alias("joined"))
-        .mapInArrow(lambda it: _count_within(it, min_tf, min_chars, schema), "id bigint, term string, tf int, n bigint"),
+        .mapInArrow(lambda it: _count_within(it, min_tf, min_chars, schema), "term string, tf int, n bigint, ids array<bigint>"),
         "term-counts",
     )
     # fitting costs far more than its bytes tell: as many tasks as the session asks for, however small the table
     tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = counted.where("n is not null").groupBy("term", "tf").agg(F.sum("n").alias("n")).repartition(tasks, "term")
+    cells = counted.groupBy("term", "tf").agg(F.sum("n").alias("n")).repartition(tasks, "term")
     histograms = cells.groupBy("term").agg(F.collect_list(F.struct("tf", "n")).alias("cells"))
     fitted = pa.schema([("term", pa.string()), ("tf", pa.int32()), ("df", pa.int64()), ("cf", pa.int64()), ("elite", pa.float64()), ("score", pa.float64())])
     scores = histograms.select("term", "cells").mapInArrow(_fit_batches(all_records, fitted), "term string, tf int, df bigint, cf bigint, elite double, score double")
     if records_between:
         scores = scores.where(F.col("df").between(*records_between))
-    rows = counted.where("n is null").select(F.col("id").alias(record_id), "term", "tf")
-    return rows.join(scores, ["term", "tf"]).select(record_id, "term", "tf", "df", "cf", "elite", "score")
+    rows = counted.where(F.size("ids") > 0).select("term", "tf", "ids")
+    return rows.join(scores, ["term", "tf"]).select(F.explode("ids").alias(record_id), "term", "tf", "df", "cf", "elite", "score")
